@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ._base import table
 from .line_dedup import dedup_lines
+from .simhash import near_duplicates
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +34,13 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_simhash": op3_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
