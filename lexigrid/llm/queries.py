@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import table
+from ._base import stored, table
 from .line_dedup import dedup_lines
+from .packing import pack, token_pieces
 from .simhash import near_duplicates
+from .token_records import read_records, write_records
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +41,25 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    digests = stored(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces")
+    return pack(digests)
+
+
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    records = read_records(write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
+    n_tokens = (F.octet_length("ids") / 4).cast("bigint")
+    return records.select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_simhash": op3_simhash,
+    "op6_packing": op6_packing,
+    "op10_token_records": op10_token_records,
 }
 
 ORACLE_SQL: dict[str, str] = {
