@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ._base import stored, table
 from .line_dedup import dedup_lines
+from .mixing import mix, words
 from .packing import pack, token_pieces
 from .simhash import near_duplicates
 from .token_records import read_records, write_records
+from .topk import top_k
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +50,29 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(digests)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = stored(docs.select("doc_id", "source", words().alias("size")), "sizes")
+    mixed = mix(sized, "size")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("bigint").alias("taken"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     records = read_records(write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0))
@@ -59,9 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_simhash": op3_simhash,
     "op6_packing": op6_packing,
+    "op8_mixing": op8_mixing,
+    "op9_topk": op9_topk,
     "op10_token_records": op10_token_records,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op9_topk": OP9_SQL,
 }
