@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import stored, table
+from .langid import fit, held_out, identify
 from .line_dedup import dedup_lines
 from .mixing import mix, words
 from .packing import pack, token_pieces
@@ -43,6 +44,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(F.col("doc_id").isNotNull()), ~held_out())
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -83,6 +90,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_simhash": op3_simhash,
+    "op4_language_id": op4_language_id,
     "op6_packing": op6_packing,
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
