@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import stored, table
+from .edit_fingerprint import edit_likeness
 from .langid import fit, held_out, identify
 from .line_dedup import dedup_lines
 from .mixing import mix, words
@@ -57,6 +58,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(digests)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = stored(docs.select("doc_id", "source", words().alias("size")), "sizes")
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
     "op6_packing": op6_packing,
+    "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_topk": op9_topk,
     "op10_token_records": op10_token_records,
