@@ -1,7 +1,8 @@
 """Token-id output: length-delimited binary records with masked checksums, and an offset index beside each file.
 
 A record: length of the payload (unsigned 64-bit), masked CRC-32 of those 8 bytes, payload, masked CRC-32 of the payload; all
-little-endian. The payload: 1 byte (1 if the document has an id), the id (signed 64-bit), then the token ids (unsigned 32-bit).
+little-endian. The payload: 1 byte (1 if the document has an id), the id (signed 64-bit), 1 byte (bytes of a token id: 2 if the whole vocabulary and
+the end id fit, else 4), then the token ids (unsigned).
 The index file has, per record, its offset and the number of ids in the records before it in the file (unsigned 64-bit each), then
 the file's size and all its ids: any record is found with one seek, in whatever order a reader shuffles them.
 
@@ -27,7 +28,7 @@ from ._base import col, scratch_path, stored
 from ._tokens import encoder
 
 _HEAD = "<QI"
-_ID = "<Bq"
+_ID = "<BqB"
 _CRC = "<I"
 #: Records that a reading task takes at once.
 CHUNK = 4096
@@ -68,7 +69,9 @@ def _writer(out_dir: str, tokenizer: str, end_id: int | None):
         shard = TaskContext.get().partitionId()
         store, root = filesystem(out_dir)
         name = f"{root}/part-{shard:06d}-{uuid.uuid4().hex}"
-        encode, end = encoder(tokenizer).encode, b"" if end_id is None else struct.pack("<I", end_id)
+        tokens = encoder(tokenizer)
+        encode, end = tokens.encode, b"" if end_id is None else struct.pack("<I", end_id)
+        width = 2 if max(tokens.tokenizer.get_vocab_size() - 1, end_id or 0) < 1 << 16 else 4
         at = n = 0
         index: list[int] = []
         sink = None
@@ -78,10 +81,11 @@ def _writer(out_dir: str, tokenizer: str, end_id: int | None):
                 sink = store.open_output_stream(f"{name}.rec")
             texts = batch.column(1).to_pylist()
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in texts]), strict=True):
-                record = framed(struct.pack(_ID, doc_id is not None, doc_id or 0) + ids + end)
+                own = np.frombuffer(ids + end, "<u4")
+                record = framed(struct.pack(_ID, doc_id is not None, doc_id or 0, width) + own.astype(f"<u{width}").tobytes())
                 index += (at, n)
                 at += len(record)
-                n += (len(ids) + len(end)) // 4
+                n += len(own)
                 sink.write(record)
         if sink is not None:
             sink.close()
@@ -122,9 +126,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     data, at, ids, tokens = f.read(int(bounds[upto] - bounds[k])), 0, [], []
                     while at < len(data):
                         payload, at = unframed(data, at)
-                        has, doc_id = struct.unpack_from(_ID, payload)
+                        has, doc_id, width = struct.unpack_from(_ID, payload)
                         ids.append(doc_id if has else None)
-                        tokens.append(payload[struct.calcsize(_ID) :])
+                        tokens.append(np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(_ID)).astype("<u4").tobytes())
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(index[k:upto, 1] + base), pa.array(tokens, pa.binary())], names=["doc_id", "start", "ids"])
                     k = upto
 
