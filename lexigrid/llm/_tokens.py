@@ -25,6 +25,10 @@ LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 _RUN = f"[{LATIN}]++(?=[!-/:-@\\[-`{{-~{WHITE}]|\\Z)|[^{WHITE}]+"
 _GLUED = re.compile(f"[{WHITE}]*(?:{_RUN})|[{WHITE}]+")
 _WORDS = re.compile(_RUN)
+_PLAIN = re.compile(f" ?[{LATIN}]+").fullmatch
+#: The characters by which byte-level tokenizers write bytes: printable ones stand for themselves, the others for those from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 #: Stretches that a worker remembers: up to twice as many, as the last so many are kept when they are full. Longer stretches are not.
 REMEMBERED = 350_000
 LONGEST = 64
@@ -57,21 +61,31 @@ class Encoder:
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        """What the parts encode to. One that is letters and a space before them at most is one pre-token: it goes to the merges at once."""
+        merge, lower, out, rest = self.tokenizer.model.tokenize, self.cut is _WORDS, {}, []
+        for p in parts:
+            if _PLAIN(p):
+                out[p] = array("I", [t.id for t in merge((p.lower() if lower else p).encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+            else:
+                rest.append(p)
+        out.update(zip(rest, self._ids(rest), strict=True))
+        return out
+
     def _some(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut.findall(text) for text in texts]
-        missing = set().union(*cut).difference(self.known)
-        if missing:
-            if len(self.known) > REMEMBERED:
-                self.last, self.known = self.known, {}
-                missing = set().union(*cut)
-            self.known.update((p, self.last[p]) for p in missing if p in self.last)
-            missing = [*missing.difference(self.known)]
-            self.known.update(zip(missing, self._ids(missing), strict=True))
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
-        for p in missing:
-            if len(p) > LONGEST:
-                del self.known[p]
-        return out
+        found = [list(map(self.known.get, parts)) for parts in cut]
+        holes = [[i for i, ids in enumerate(own) if ids is None] if None in own else () for own in found]
+        missing = {parts[i] for parts, own in zip(cut, holes, strict=True) for i in own}
+        new = {p: self.last[p] for p in missing if p in self.last}
+        new.update(self._new([p for p in missing if p not in new]))
+        for parts, ids, own in zip(cut, found, holes, strict=True):
+            for i in own:
+                ids[i] = new[parts[i]]
+        if len(self.known) > REMEMBERED:
+            self.last, self.known = self.known, {}
+        self.known.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST)
+        return [b"".join(ids) for ids in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.cut is None:
