@@ -70,3 +70,11 @@ def col(name: str) -> Column:
 
 def kind(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
+
+
+def sheltered(df: DataFrame, *taken: str) -> tuple[DataFrame, list[Column]]:
+    """df with the columns that have one of these names (whatever the letters' case) renamed, and what selects all of df's columns
+    again, under their own names, from what is made of it."""
+    clash = [c for c in df.columns if c.lower() in taken]
+    new = dict(zip(clash, fresh(df, *(f"kept_{k}" for k in range(len(clash)))), strict=True))
+    return df.withColumnsRenamed(new), [col(new.get(c, c)).alias(c) for c in df.columns]

@@ -148,9 +148,9 @@ def mix(docs: DataFrame, size_col: str, id_col: str = "doc_id", source_col: str
 
 
 def mixed_rows(mixed: DataFrame) -> DataFrame:
-    """The mix itself: a row for each draw, with its shard; to be written by shard in order of place."""
+    """The mix itself: a row for each draw, with its shard; to be written by shard in order of place. Columns of these names are replaced."""
     rows = mixed.withColumn("_lx_draw", F.explode("draws"))
-    return rows.select(*[col(c) for c in mixed.columns if c != "draws"], F.col("_lx_draw")["shard"].alias("shard"), F.col("_lx_draw")["place"].alias("place"))
+    return rows.select(*[col(c) for c in mixed.columns if c.lower() not in ("draws", "shard", "place")], F.col("_lx_draw")["shard"].alias("shard"), F.col("_lx_draw")["place"].alias("place"))
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:

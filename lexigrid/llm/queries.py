@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._base import stored, table
+from .chat import format_conversations, read_back
 from .edit_fingerprint import edit_likeness
 from .langid import fit, held_out, identify
+from .license_scan import RULES, known_sentences, scan
 from .line_dedup import dedup_lines
 from .mixing import mix, words
 from .packing import pack, token_pieces
@@ -41,6 +43,32 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_sentences")
+
+
+def _op2_sql() -> str:
+    known = ", ".join(f"('{text}', '{name}')" for text, name in known_sentences().items())
+    by_license: dict[str, list[str]] = {}
+    for name, rule in RULES:
+        by_license.setdefault(name, []).append(f"contains(path, '|{'|'.join(rule)}|')")
+    licenses = ", ".join(f"CASE WHEN {' OR '.join(some)} THEN '{name}' END" for name, some in by_license.items())
+    return f"""
+WITH known(s, name) AS (VALUES {known}),
+cut AS (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[.!?]+[ \t\r]+|[ \t\r]*\n\\s*'),
+    lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS sentences FROM documents),
+rows AS (
+  SELECT doc_id, unnest(sentences) AS s, generate_subscripts(sentences, 1) AS pos FROM cut),
+paths AS (
+  SELECT doc_id, '|' || string_agg(coalesce(name, ''), '|' ORDER BY pos) || '|' AS path, string_agg(name, ',' ORDER BY pos) AS ids
+  FROM rows LEFT JOIN known USING (s) GROUP BY doc_id)
+SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(list_filter([{licenses}], lambda x: x IS NOT NULL), ','), '') AS licenses,
+  CAST(len(sentences) AS BIGINT) AS n_sentences
+FROM cut LEFT JOIN paths USING (doc_id)"""
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,6 +79,37 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = [(-7, k, role, "\\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))]
+    turns = turns.unionByName(spark.createDataFrame(own, turns.schema))
+    back = read_back(format_conversations(turns, public_tokenizers.path("byte_bpe_50k.json")))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("bigint").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(k)),
+e AS (
+  SELECT *, length(role || text) + len(regexp_extract_all(role || chr(0) || text, '\\|<turn>|<text>|</turn>')) + length('<turn><text></turn>') AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -94,8 +153,10 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
+    "op5_chat": op5_chat,
     "op6_packing": op6_packing,
     "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,
@@ -105,5 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op2_license_scan": _op2_sql(),
+    "op5_chat": OP5_SQL,
     "op9_topk": OP9_SQL,
 }
