@@ -1,0 +1 @@
+"""Whole queries over the test tables, with the SQL that they are held against."""

@@ -1,0 +1,10 @@
+"""The shapes of the tables that readers give. Types are stated, never inferred: ids such as 04 stay as they are."""
+
+from __future__ import annotations
+
+CORPUS = "docno string, shard string, url string, body string"
+TOPICS = "qid string, title string"
+QRELS = "qid string, iter string, docno string, rel int"
+RUN = "qid string, q0 string, docno string, rank int, score double, tag string"
+MEASURES = "metric string, qid string, value double"
+ENCODED = "label int, input_ids array<int>, attention_mask array<int>"

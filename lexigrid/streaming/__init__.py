@@ -1,0 +1 @@
+"""Nothing here yet: the operators of this library are batch operators, and none of their inputs is a stream."""
