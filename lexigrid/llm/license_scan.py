@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ._base import col, fresh
 
-#: Known sentences of public licences and notices, by identifier.
+#: Known sentences of public licences and notices, by identifier, as CUT leaves them (v. ends one).
 SENTENCES = {
     "apache-ref": "Licensed under the Apache License, Version 2.0",
     "apache-head": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License',
@@ -41,7 +41,8 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-ref": "Released under the BSD License",
-    "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v",
+    "two-zero": "2.0",
     "cc-by-nc-ref": "Licensed under CC BY-NC 4.0",
     "cc-by-nc-work": "This work is licensed under CC BY-NC 4.0",
     "cc-by-ref": "Licensed under CC BY 4.0",
@@ -68,7 +69,7 @@ RULES = (
     ("MIT", ("mit-grant",)),
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-2.0-or-later", ("gpl2-free",)),
-    ("MPL-2.0", ("mpl-form",)),
+    ("MPL-2.0", ("mpl-form", "two-zero")),
     ("Unlicense", ("unlicense",)),
     ("CC0-1.0", ("cc0-ref",)),
     ("Apache-2.0", ("spdx-apache",)),

@@ -26,6 +26,8 @@ SEED = 42
 MAX_BITS = 3
 BLOCKS = 6
 BUCKET = 8192
+#: A bucket with so few free bits has 1024 nodes at most and is not cut again.
+LAST_BITS = 10
 #: Buckets up to this size are compared all at once, larger ones node by node.
 SMALL = 8
 
@@ -79,7 +81,14 @@ def spanning_links(nodes: np.ndarray, most: int = MAX_BITS) -> list[tuple[int, i
     return links
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linker(bucket: int):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _link(batches, bucket)
+
+    return link
+
+
+def _link(batches: Iterator[pa.RecordBatch], bucket: int) -> Iterator[pa.RecordBatch]:
     """Rows (mask, key, fp) sorted by bucket -> links (a, b, false), and (mask, fp, true) for each node of a bucket that is too large."""
 
     def rows(a: np.ndarray, b: np.ndarray, over: bool) -> pa.RecordBatch:
@@ -111,15 +120,16 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             overfull = None
         change = np.flatnonzero((data[0, 1:] != data[0, :-1]) | (data[1, 1:] != data[1, :-1])) + 1
         starts = np.concatenate([[0], change]) if data.shape[1] else change
-        for k, at in enumerate(starts.tolist()):  # buckets over the limit are rare
-            end = starts[k + 1] if k + 1 < len(starts) else data.shape[1]
-            if end - at > BUCKET:
-                yield rows(data[0, at:end], data[2, at:end], True)
-                if k + 1 == len(starts):
-                    overfull = (data[0, at], data[1, at])
+        ends = np.append(starts[1:], data.shape[1])
+        full = (ends - starts > bucket) & (64 - np.bitwise_count(data[0, starts].view("u8")) > LAST_BITS)
+        for k in np.flatnonzero(full).tolist():
+            at, end = int(starts[k]), int(ends[k])
+            yield rows(data[0, at:end], data[2, at:end], True)
+            if k + 1 == len(starts):
+                overfull = (data[0, at], data[1, at])
         last = int(starts[-1]) if len(starts) else 0
         sizes = np.diff(starts)
-        fit = sizes <= BUCKET
+        fit = ~full[:-1]
         if fit.any():
             yield from whole(data[2, :last], starts[:-1][fit], sizes[fit]) if fit.all() else _some(whole, data[2], starts[:-1][fit], sizes[fit])
         kept = data[:, data.shape[1] :] if overfull is not None else data[:, last:]
@@ -143,13 +153,13 @@ def _narrower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), m)), pa.array(own & m), pa.array(own)], names=["mask", "key", "fp"])
 
 
-def near_links(nodes: DataFrame) -> DataFrame:
+def near_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """From distinct fingerprints (fp long), links (u, v) that connect all that Hamming distances up to MAX_BITS connect."""
     masks = F.array(*[F.lit(_signed(m)).cast("bigint") for m in block_masks((1 << 64) - 1)])
     keyed = nodes.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     links = None
     while True:
-        found = stored(keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_link, "a bigint, b bigint, over boolean"), "links")
+        found = stored(keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_linker(bucket), "a bigint, b bigint, over boolean"), "links")
         own = found.where(~F.col("over")).select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = own if links is None else links.union(own)
         over = found.where("over").select("a", "b")
