@@ -139,8 +139,10 @@ def mix(docs: DataFrame, size_col: str, id_col: str = "doc_id", source_col: str
 
     joined = marked.drop(rest).join(by_block.select(F.col(k_col).alias("_lx_mix_k"), F.col(block).alias("_lx_mix_block"), F.col("all").alias("_lx_mix_all"), F.col("left").alias(rest)), (F.col(k_col) == F.col("_lx_mix_k")) & (F.col(block) == F.col("_lx_mix_block")), "left")
     joined = joined.withColumn(taken, F.lit(False))
-    cut = joined.where(F.col(rest).isNotNull())
+    whole = F.struct(*[col(c) for c in joined.columns if c != taken]).alias("row")  # Arrow functions take no names with dots
+    cut = joined.where(F.col(rest).isNotNull()).select(whole, k_col, block, order, "_lx_mix_size", rest, taken)
     cut = cut.groupBy(k_col, block).applyInArrow(_fit(rest, taken, order), T.StructType([T.StructField(f.name, f.dataType) for f in cut.schema.fields]))
+    cut = cut.select("row.*", taken)
     both = joined.where(F.col(rest).isNull()).unionByName(cut)
     stay = F.filter(F.coalesce(F.col("_lx_mix_all"), F.array().cast("array<struct<pass: bigint, shard: bigint, partly: boolean>>")), lambda d: ~d["partly"] | F.col(taken))
     place = F.transform(stay, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed + 2), d["pass"], d["shard"], F.col(order)).alias("place")))

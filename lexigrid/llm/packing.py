@@ -85,19 +85,22 @@ class Layout:
         return self.base[at] + nth // self.copies[at], self.offset[at] + nth % self.copies[at] * length
 
 
-def _numberer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by their last column but two (length) get the partition and their number within the partition's rows of that length."""
-    part, last, n = TaskContext.get().partitionId(), None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        length = batch.column(batch.num_columns - 1).to_numpy()
-        starts = np.concatenate([[0], np.flatnonzero(length[1:] != length[:-1]) + 1])
-        nth = np.arange(len(length)) - np.repeat(starts, np.diff([*starts, len(length)]))
-        if length[0] == last:
-            nth[: starts[1] if len(starts) > 1 else len(length)] += n
-        last, n = length[-1], nth[-1] + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, "i8")), pa.array(nth)], names=[*batch.schema.names, "part", "nth"])
+def _numberer(names: list[str]):
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by their last column (length) get the partition and their number within the partition's rows of that length."""
+        part, last, n = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            length = batch.column(batch.num_columns - 1).to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(length[1:] != length[:-1]) + 1])
+            nth = np.arange(len(length)) - np.repeat(starts, np.diff([*starts, len(length)]))
+            if length[0] == last:
+                nth[: starts[1] if len(starts) > 1 else len(length)] += n
+            last, n = length[-1], nth[-1] + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), part, "i8")), pa.array(nth)], names=names)
+
+    return number
 
 
 def pack(pieces: DataFrame, length_col: str = "length", order_by: tuple[str, ...] = ("doc_id", "start"), capacity: int = MAX_TOKENS) -> DataFrame:
@@ -106,7 +109,9 @@ def pack(pieces: DataFrame, length_col: str = "length", order_by: tuple[str, ...
     Lengths must be in 1..capacity; a null or other length raises. An empty table gives an empty table. Input columns named
     sequence_id or offset are replaced; other columns are carried along.
     """
-    pieces = pieces.drop("sequence_id", "offset")
+    pieces = pieces.select(*[col(c) for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
+    names = dict(zip(pieces.columns, (f"c{k}" for k in range(len(pieces.columns))), strict=True))  # Arrow functions take no dots
+    pieces, length_col, order_by = pieces.toDF(*names.values()), names[length_col], [names[c] for c in order_by]
     h, size, part, nth, base, out = fresh(pieces, "hash", "size", "part", "nth", "base", "place")
     counts = pieces.groupBy(col(length_col).cast("bigint").alias("length")).count().limit(capacity + 2).collect()
     if any(r["length"] is None or not 0 < r["length"] <= capacity for r in counts):
@@ -116,7 +121,7 @@ def pack(pieces: DataFrame, length_col: str = "length", order_by: tuple[str, ...
     sized = pieces.withColumn(h, F.xxhash64(*[col(c) for c in order_by])).withColumn(size, col(length_col).cast("bigint"))
     schema = T.StructType([*sized.schema.fields, T.StructField(part, T.LongType()), T.StructField(nth, T.LongType())])
     numbered = sized.repartitionByRange(col(size), *[col(c) for c in keys]).sortWithinPartitions(col(size), *[col(c) for c in keys])
-    numbered = stored(numbered.mapInArrow(_numberer, schema), "numbered")
+    numbered = stored(numbered.mapInArrow(_numberer(schema.names), schema), "numbered")
     sums = numbered.groupBy(size, part).agg((F.max(nth) + 1).alias(base))
     before = F.sum(base).over(Window.partitionBy(size).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
     bases = stored(sums.select(size, part, F.coalesce(before, F.lit(0)).alias(base)), "bases")
@@ -126,7 +131,7 @@ def pack(pieces: DataFrame, length_col: str = "length", order_by: tuple[str, ...
         return pa.StructArray.from_arrays([pa.array(x) for x in layout.place(length.to_numpy(), rank.to_numpy())], names=["sequence_id", "offset"])
 
     done = numbered.join(bases, [size, part]).withColumn(out, place(F.col(size), F.col(nth) + F.col(base)))
-    return done.select(*[col(c) for c in pieces.columns], F.col(out)["sequence_id"].alias("sequence_id"), F.col(out)["offset"].alias("offset"))
+    return done.select(*[F.col(new).alias(c) for c, new in names.items()], F.col(out)["sequence_id"].alias("sequence_id"), F.col(out)["offset"].alias("offset"))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", capacity: int = MAX_TOKENS) -> DataFrame:
