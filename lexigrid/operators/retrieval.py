@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .index import collection_statistics, document_lengths, postings, term_statistics
+from .index import collection_statistics, postings, term_statistics
 
 #: Scores are sums of decimals, so that the order of summing does not show, rounded before they are ranked.
 _EXACT, _PLACES = "decimal(28,12)", 6
@@ -21,12 +21,11 @@ def topic_terms(topics: DataFrame) -> DataFrame:
 def bm25(tokens: DataFrame, topics: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(qid, docno, score) of all documents with a word of the topic (Robertson and Zaragoza, 2009); each word of a topic counts once."""
     terms = topic_terms(topics)
-    index = postings(tokens, terms)
+    index = postings(tokens, terms, with_length=True)
     facts = collection_statistics(tokens)  # one row
     weighted = terms.join(term_statistics(index), "term").join(F.broadcast(facts)).select("qid", "term", "avg_length", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    lengths = document_lengths(tokens)
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
-    found = index.join(weighted, "term").join(lengths, "docno")
+    found = index.join(weighted, "term")
     return found.groupBy("qid", "docno").agg(F.round(F.sum(gain.cast(_EXACT)).cast("double"), _PLACES).alias("score"))
 
 
