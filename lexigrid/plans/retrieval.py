@@ -73,6 +73,13 @@ RUN_SCAN = f"""WITH {_RUN} SELECT CAST(qid AS VARCHAR) AS qid, 'Q0' AS q0, CAST(
   CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno DESC) AS INTEGER) AS rank, score, 'lexigrid' AS tag FROM run"""
 
 
+def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collections.run_lines(ranking.rank(_formula_run(spark, sf_dir)))
+
+
+RUN_LINES = f"SELECT concat_ws(' ', qid, q0, docno, rank, score, tag) AS value FROM ({RUN_SCAN})"
+
+
 def run_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.rank(_formula_run(spark, sf_dir))
 
@@ -224,10 +231,20 @@ def trec_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("value"))
 
 
+def trec_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as it is printed."""
+    means = evaluation.long_form(_per_query(spark, sf_dir)).groupBy("metric").agg(F.avg("value").alias("value"))
+    return evaluation.report(means.withColumn("qid", F.lit("all"))).select("nth", "metric", "line")
+
+
 _MEANS = " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m.lower()}), 6) AS value FROM each" for m in evaluation.METRICS)
 TREC_REPORT = f"WITH {_EACH} {_MEANS}"
 
 
+_LINES = " UNION ALL ".join(f"SELECT CAST({k} AS BIGINT) AS nth, '{m}' AS metric, printf('%s: %.4f', '{m}', avg({m.lower()})) AS line FROM each" for k, m in enumerate(evaluation.METRICS, 1))
+TREC_REPORT_LINES = f"WITH {_EACH} {_LINES}"
+
+
 def _single(metric: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _per_query(spark, sf_dir).agg(F.round(F.avg(metric), 6).alias("value"))
@@ -240,6 +257,7 @@ QUERIES = {
     "topics_scan": topics_scan,
     "qrels_scan": qrels_scan,
     "run_scan": run_scan,
+    "run_lines": run_lines,
     "run_rank": run_rank,
     "run_topk": run_topk,
     "run_judged": run_judged,
@@ -253,6 +271,7 @@ QUERIES = {
     "retrieve_boolean_or": retrieve_boolean_or,
     "passage_judgments": passage_judgments,
     "trec_report": trec_report,
+    "trec_report_lines": trec_report_lines,
     "trec_per_query": trec_per_query,
     "trec_per_query_complete": trec_per_query_complete,
     **{f"trec_{m.lower().replace('p_', 'p')}": _single(m) for m in evaluation.METRICS},
@@ -263,6 +282,7 @@ ORACLE_SQL = {
     "topics_scan": TOPICS_SCAN,
     "qrels_scan": QRELS_SCAN,
     "run_scan": RUN_SCAN,
+    "run_lines": RUN_LINES,
     "run_rank": RUN_RANK,
     "run_topk": RUN_TOPK,
     "run_judged": RUN_JUDGED,
@@ -276,6 +296,7 @@ ORACLE_SQL = {
     "retrieve_boolean_or": RETRIEVE_OR,
     "passage_judgments": PASSAGE_JUDGMENTS,
     "trec_report": TREC_REPORT,
+    "trec_report_lines": TREC_REPORT_LINES,
     "trec_per_query": TREC_PER_QUERY,
     "trec_per_query_complete": TREC_PER_QUERY_COMPLETE,
     **{f"trec_{m.lower().replace('p_', 'p')}": f"WITH {_EACH} SELECT round(avg({m.lower()}), 6) AS value FROM each" for m in evaluation.METRICS},
