@@ -252,6 +252,8 @@ def _single(metric: str):
     return query
 
 
+_KEYS = {"trec_map": "map", "trec_rprec": "Rprec", "trec_recip_rank": "recip_rank", "trec_p5": "P_5", "trec_p10": "P_10", "trec_p20": "P_20"}
+
 QUERIES = {
     "corpus_scan": corpus_scan,
     "topics_scan": topics_scan,
@@ -274,7 +276,7 @@ QUERIES = {
     "trec_report_lines": trec_report_lines,
     "trec_per_query": trec_per_query,
     "trec_per_query_complete": trec_per_query_complete,
-    **{f"trec_{m.lower().replace('p_', 'p')}": _single(m) for m in evaluation.METRICS},
+    **{key: _single(m) for key, m in _KEYS.items()},
 }
 
 ORACLE_SQL = {
@@ -299,5 +301,5 @@ ORACLE_SQL = {
     "trec_report_lines": TREC_REPORT_LINES,
     "trec_per_query": TREC_PER_QUERY,
     "trec_per_query_complete": TREC_PER_QUERY_COMPLETE,
-    **{f"trec_{m.lower().replace('p_', 'p')}": f"WITH {_EACH} SELECT round(avg({m.lower()}), 6) AS value FROM each" for m in evaluation.METRICS},
+    **{key: f"WITH {_EACH} SELECT round(avg({m.lower()}), 6) AS value FROM each" for key, m in _KEYS.items()},
 }
