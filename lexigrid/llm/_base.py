@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Texts may be very long; a batch also ends at BATCH_BYTES.
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +37,7 @@ def stored(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFr
     """Write df as a table in the shared folder and read it back: lineage ends there, a lost executor costs no more than its tasks,
     and the planner knows the table's true size (so a later broadcast is size-checked)."""
     path = scratch_path(df.sparkSession, name)
+    bounded_batches(df.sparkSession)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -78,3 +82,17 @@ def sheltered(df: DataFrame, *taken: str) -> tuple[DataFrame, list[Column]]:
     clash = [c for c in df.columns if c.lower() in taken]
     new = dict(zip(clash, fresh(df, *(f"kept_{k}" for k in range(len(clash)))), strict=True))
     return df.withColumnsRenamed(new), [col(new.get(c, c)).alias(c) for c in df.columns]
+
+
+def giving_back(function: Callable) -> Callable:
+    """A function for mapInArrow whose worker, which stays for other stages, gives free memory back to the machine when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # a C library without it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run

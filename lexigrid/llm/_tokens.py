@@ -33,7 +33,7 @@ _BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not i
 REMEMBERED = 350_000
 LONGEST = 64
 #: Code points of the texts whose stretches are looked up together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
 
 
 def _cutter(spec: dict) -> re.Pattern | None:
@@ -50,7 +50,8 @@ def _cutter(spec: dict) -> re.Pattern | None:
 class Encoder:
     """encode(texts): for each text its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
@@ -82,7 +83,7 @@ class Encoder:
         for parts, ids, own in zip(cut, found, holes, strict=True):
             for i in own:
                 ids[i] = new[parts[i]]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.last, self.known = self.known, {}
         self.known.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST)
         return [b"".join(ids) for ids in found]
@@ -101,6 +102,6 @@ class Encoder:
 
 
 @lru_cache(2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One for each worker and path."""
-    return Encoder(path)
+    return Encoder(path, remembered)

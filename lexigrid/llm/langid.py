@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import col, fresh, stored
+from ._base import col, fresh, giving_back, stored
 
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
@@ -26,12 +26,25 @@ PASSES = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-3, 1e-3
 SEED = 42
 UNKNOWN = "und"
+#: Code points whose grams are hashed together.
+TOGETHER = 1 << 19
 #: The multipliers of the hash of a gram, by place; odd, from the golden ratio's and its square's fractions.
 _MIX = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 
 
 def gram_counts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text, the buckets of its grams and how often each occurs."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size > TOGETHER:
+            yield from _gram_counts(some)
+            some, size = [], 0
+    yield from _gram_counts(some)
+
+
+def _gram_counts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     low = [t.lower() for t in texts]
     points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
     hashed, sums = [], np.zeros(len(points), "u4")
@@ -134,7 +147,7 @@ def fit(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: s
         yield pa.RecordBatch.from_arrays([pa.array([None] * len(some), pa.string()), pa.array(some), pa.array(df[some])], names=["lang", "bucket", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(list(langs), pa.string()), pa.array([-1] * len(langs), pa.int64()), pa.array(list(langs.values()), pa.int64())], names=["lang", "bucket", "n"])
 
-    counted = rows.select("lang", "text").mapInArrow(frequencies, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS and a row a language
+    counted = rows.select("lang", "text").mapInArrow(giving_back(frequencies), "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS and a row a language
     n_lang = {r["lang"]: r["n"] for r in counted if r["lang"] is not None}
     languages, total = sorted(n_lang), sum(n_lang.values())
     idf = np.full(BUCKETS, np.log(1 + total) + 1)
@@ -164,7 +177,7 @@ def fit(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: s
 
     share = F.create_map(*[F.lit(v) for lang in languages for v in (lang, min(1.0, per_language / n_lang[lang]))])
     sample = rows.where(F.pmod("h", F.lit(1_000_003)) < F.lit(1_000_003) * F.element_at(share, F.col("lang")))
-    sampled = stored(sample.mapInArrow(features, "y bigint, h bigint, i binary, x binary"), "features")
+    sampled = stored(sample.mapInArrow(giving_back(features), "y bigint, h bigint, i binary, x binary"), "features")
     got = sampled.repartition(1).sortWithinPartitions("h", "y", "i").mapInArrow(train, "w binary, t double").first()
     return Model(languages, idf, np.frombuffer(got["w"], "<f4").reshape(BUCKETS + 1, len(languages)), got["t"])
 

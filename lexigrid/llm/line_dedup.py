@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import col, fresh, stored
+from ._base import col, fresh, giving_back, stored
 
 #: A line's key must have so many code points, and so many documents must hold it.
 MIN_CHARS = 20
@@ -51,7 +51,7 @@ def _emitter(min_chars: int, names: list[str]):
 def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The (id, h1, h2) of every line key that a document has to give up: at least min_docs documents hold it, and one with a larger id does."""
     plain = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    held = plain.mapInArrow(_emitter(min_chars, ["id", "h1", "h2"]), T.StructType([T.StructField("id", plain.schema["id"].dataType), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
+    held = plain.mapInArrow(giving_back(_emitter(min_chars, ["id", "h1", "h2"])), T.StructType([T.StructField("id", plain.schema["id"].dataType), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
     often = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
     often = stored(often, "often")  # else its partitioning would bind the join's, and a hot line could not be split
     return held.join(often, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper"))).select("id", "h1", "h2")

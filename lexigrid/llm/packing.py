@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import col, fresh, stored
-from ._tokens import encoder
+from ._base import col, fresh, giving_back, stored
+from ._tokens import REMEMBERED, encoder
 
 MAX_TOKENS = 4096
 
@@ -121,7 +121,7 @@ def pack(pieces: DataFrame, length_col: str = "length", order_by: tuple[str, ...
     sized = pieces.withColumn(h, F.xxhash64(*[col(c) for c in order_by])).withColumn(size, col(length_col).cast("bigint"))
     schema = T.StructType([*sized.schema.fields, T.StructField(part, T.LongType()), T.StructField(nth, T.LongType())])
     numbered = sized.repartitionByRange(col(size), *[col(c) for c in keys]).sortWithinPartitions(col(size), *[col(c) for c in keys])
-    numbered = stored(numbered.mapInArrow(_numberer(schema.names), schema), "numbered")
+    numbered = stored(numbered.mapInArrow(giving_back(_numberer(schema.names)), schema), "numbered")
     sums = numbered.groupBy(size, part).agg((F.max(nth) + 1).alias(base))
     before = F.sum(base).over(Window.partitionBy(size).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
     bases = stored(sums.select(size, part, F.coalesce(before, F.lit(0)).alias(base)), "bases")
@@ -134,28 +134,34 @@ def pack(pieces: DataFrame, length_col: str = "length", order_by: tuple[str, ...
     return done.select(*[F.col(new).alias(c) for c, new in names.items()], F.col(out)["sequence_id"].alias("sequence_id"), F.col(out)["offset"].alias("offset"))
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", capacity: int = MAX_TOKENS) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", capacity: int = MAX_TOKENS, remembered: int = REMEMBERED, narrow: bool = False) -> DataFrame:
     """Whole texts encoded, end_id appended, cut into pieces of capacity ids and a rest: id_col, start, length, ids (binary,
-    little-endian unsigned 32-bit), doc_tokens. A null text is an empty one. A document without any id (no end_id) has no piece."""
+    little-endian unsigned 32-bit), doc_tokens. A null text is an empty one. A document without any id (no end_id) has no piece.
+    remembered: stretches that a worker keeps encoded, memory against time. narrow: two bytes an id if the whole vocabulary and end_id fit."""
     plain = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = encoder(tokenizer).encode, b"" if end_id is None else struct.pack("<I", end_id), 4 * capacity
+        tokens = encoder(tokenizer, remembered)
+        encode, end = tokens.encode, b"" if end_id is None else struct.pack("<I", end_id)
+        width = 2 if narrow and max(tokens.tokenizer.get_vocab_size() - 1, end_id or 0) < 1 << 16 else 4
+        step = width * capacity
         for batch in batches:
             owner, start, ids, total = [], [], [], []
             for i, own in enumerate(encode([t or "" for t in batch.column(1).to_pylist()])):
                 own += end
+                if width == 2:
+                    own = np.frombuffer(own, "<u4").astype("<u2").tobytes()
                 for at in range(0, len(own), step):
                     owner.append(i)
-                    start.append(at // 4)
+                    start.append(at // width)
                     ids.append(own[at : at + step])
-                    total.append(len(own) // 4)
-            arrays = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())]
+                    total.append(len(own) // width)
+            arrays = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "start", "length", "ids", "doc_tokens"])
 
     longs = [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens")]
     schema = T.StructType([plain.schema["id"], longs[0], longs[1], T.StructField("ids", T.BinaryType()), longs[2]])
-    return plain.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
+    return plain.mapInArrow(giving_back(cut), schema).withColumnRenamed("id", id_col)
 
 
 def packed_sequences(placed: DataFrame, ids_col: str = "ids") -> DataFrame:

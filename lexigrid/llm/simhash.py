@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import col, fresh, stored
+from ._base import col, fresh, giving_back, stored
 from ._components import star_forest
 
 WORDS = 3
@@ -159,7 +159,7 @@ def near_links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     keyed = nodes.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     links = None
     while True:
-        found = stored(keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(_linker(bucket), "a bigint, b bigint, over boolean"), "links")
+        found = stored(keyed.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").mapInArrow(giving_back(_linker(bucket)), "a bigint, b bigint, over boolean"), "links")
         own = found.where(~F.col("over")).select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = own if links is None else links.union(own)
         over = found.where("over").select("a", "b")
