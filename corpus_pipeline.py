@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._base import sheltered, stored, table
+from lexigrid.llm._base import bounded_batches, sheltered, stored, table
 from lexigrid.llm.langid import UNKNOWN, fit, held_out, identify
 from lexigrid.llm.line_dedup import dedup_lines
 from lexigrid.llm.mixing import mix, mixed_rows, words
@@ -15,10 +15,13 @@ from lexigrid.llm.simhash import drop_near_duplicates
 
 #: A document whose language is less likely than this is rejected, as is one whose language cannot be told.
 LEAST_SCORE = 0.5
+#: Encoded stretches that a worker keeps: workers stay from stage to stage, beside what the other stages need.
+REMEMBERED = 20_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, as they are."""
+    bounded_batches(spark)
     model = fit(docs.where(F.col("doc_id").isNotNull()), ~held_out())
     docs, own = sheltered(docs, "lang_pred", "score")
     told = identify(docs, model)
@@ -27,25 +30,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that others keep; n_chars follows."""
+    bounded_batches(spark)
     docs, own = sheltered(docs, "n_lines", "n_dropped")
     return dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*own)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    bounded_batches(spark)
     return drop_near_duplicates(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, shard after shard, shuffled within each."""
+    bounded_batches(spark)
     docs, own = sheltered(docs, "source_size", "target", "draws", "shard", "place")
     drawn = mixed_rows(mix(docs.withColumn("_lx_words", words()), "_lx_words"))
     return drawn.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place").select(*own)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their sequence and offset."""
-    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    """Pieces of token ids (ids: two bytes each, little-endian) with their sequence and offset."""
+    bounded_batches(spark)
+    pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, remembered=REMEMBERED, narrow=True)
     return pack(stored(pieces, "pieces"))
 
 
