@@ -1,10 +1,10 @@
 """Licence scan by sentence rules, in column expressions only.
 
-A text is cut into sentences; each, normalised to its ASCII letters and digits, lower-cased, is looked up among known licence sentences
-and becomes that sentence's identifier, or nothing. What is left is the document's identifier sequence with sentence numbers. A rule is
-an ordered sequence of identifiers that stand for a licence; it matches where its identifiers follow one another as neighbouring
-sentences. The known sentences and rules are the fixed tables below, so looking them up is a map literal and needs neither join nor
-shuffle: a document's scan is one projection.
+A text is cut into pieces at sentence marks and line ends, each normalised to its ASCII letters and digits, lower-cased, so comment signs
+are gone. A known licence sentence is one piece, or successive lines that make it up: licence texts are wrapped at any width. It becomes
+its identifier, other pieces are gaps. A rule is an ordered sequence of identifiers that stand for a licence; it matches where they
+follow one another without a gap. The known sentences and rules are the fixed tables below, which make one regular expression and a map
+literal, so a document's scan is one projection without join or shuffle.
 """
 
 from __future__ import annotations
@@ -92,8 +92,17 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-long",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-ref",)),
 )
-#: A sentence ends with such marks before white space, or with its line; "2.0" does not end one. A semicolon or colon ends none.
-CUT = r"[.!?]+[ \t\r]+|[ \t\r]*\n\s*"
+#: Sentences and rules beside those, ANY for 1 to 12 words. Where such a rule matches, no shorter one does.
+ANY = "*"
+MORE_SENTENCES = {
+    "bsd-neither": "Neither the name of * may be used to endorse or promote products derived from this software without specific prior written permission",
+}
+MORE_RULES = (("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-neither")),)
+#: A piece ends with such marks before white space, or with its line; "2.0" does not end one. A semicolon or colon ends none.
+MARK = r"[.!?]+[ \t\r\n]+"
+#: What stands between the words of a sentence: a space, or a line end and a comment sign of letters. And what numbers a sentence in a list.
+BETWEEN = "(?: |/(?:(?:rem|dnl|c)[ /])*)"
+LABEL = "(?:(?:rem|dnl|c)[ /])*(?:(?:[0-9]{1,2}|[a-z]|i{1,3}|iv)[ |/])?"
 
 
 def normalised(sentence: str) -> str:
@@ -106,26 +115,48 @@ def known_sentences() -> dict[str, str]:
 
 
 def sentences(text: Column) -> Column:
-    """The normalised sentences, in order; sentences without a letter or digit are empty strings."""
-    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), CUT), lambda s: F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+    """The normalised pieces in order, those without a letter or digit left out, as one string: after a sentence mark stands a |, after
+    another line end a /, and a | at both ends."""
+    lines = lambda s: F.regexp_replace(F.regexp_replace(s, "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "/")
+    whole = F.filter(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), MARK), lambda s: F.btrim(lines(s), F.lit(" /"))), lambda s: s != "")
+    return F.concat(F.lit("|"), F.array_join(whole, "|"), F.when(F.size(whole) > 0, F.lit("|")).otherwise(F.lit("")))
+
+
+def known_pattern() -> str:
+    """Matches a known sentence, its first group, with the boundary before it; of several the longest."""
+    known = [text.split() for text in known_sentences()]
+    known += [[ANY if word == ANY else normalised(word) for word in text.split()] for text in MORE_SENTENCES.values()]
+    some = [BETWEEN.join(f"[a-z0-9]+(?:{BETWEEN}[a-z0-9]+){{0,11}}?" if word == ANY else word for word in words) for words in sorted(known, key=lambda w: -len(w))]
+    return f"[|/]{LABEL}({'|'.join(some)})(?=[|/])"
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of docs, and: sentence_ids (the identifiers found, in order), licenses (of the rules that match, in rule order, each
-    once), n_sentences (sentences with a letter or digit).
+    once), n_sentences (pieces with a letter or digit).
 
     A null or empty text has no sentences and no licences. A sentence that occurs twice is found twice. Licence sentences with other
     words between them match the rules for single sentences only. Input columns of these names are replaced.
     """
     docs = docs.drop("sentence_ids", "licenses", "n_sentences")
-    cut, ids, path = fresh(docs, "sentences", "ids", "path")
+    cut, ids, path, rest = fresh(docs, "pieces", "ids", "path", "rest")
     known = F.create_map(*[F.lit(x) for pair in known_sentences().items() for x in pair])
-    texts = docs.withColumn(cut, F.filter(sentences(col(text_col).cast("string")), lambda s: s != ""))
-    found = texts.withColumn(ids, F.transform(F.col(cut), lambda s: F.when(F.length(s) <= max(map(len, known_sentences())), F.element_at(known, s))))
-    # neighbours stay neighbours in the path: an unknown sentence is a gap
-    found = found.withColumn(path, F.concat(F.lit("|"), F.array_join(F.transform(F.col(ids), lambda i: F.coalesce(i, F.lit(""))), "|"), F.lit("|")))
+    starts = [(text.split(f" {ANY}")[0].lower(), name) for name, text in MORE_SENTENCES.items()]
+
+    def identifier(found: Column) -> Column:
+        line = F.regexp_replace(found, BETWEEN, " ")
+        return F.coalesce(F.element_at(known, line), *[F.when(line.startswith(start), F.lit(name)) for start, name in starts])
+
+    texts = docs.withColumn(cut, sentences(col(text_col).cast("string")))
+    found = texts.withColumn(ids, F.transform(F.regexp_extract_all(cut, F.lit(known_pattern()), F.lit(1)), identifier))
+    # neighbours stay neighbours in the path: an unknown piece is a gap
+    gaps = F.split(F.translate(F.regexp_replace(F.regexp_replace(F.col(cut), known_pattern(), "|="), "[^|=/]+", ""), "/", "|"), "=")
+    found = found.withColumn(path, F.array_join(F.zip_with(gaps, F.col(ids), lambda gap, i: F.concat(gap, F.coalesce(i, F.lit("")))), ""))
+    found = found.withColumn(rest, reduce(lambda p, rule: F.replace(p, F.lit(f"|{'|'.join(rule[1])}|"), F.lit("|||")), MORE_RULES, F.col(path)))
     by_license: dict[str, list[Column]] = {}
     for name, rule in RULES:
+        by_license.setdefault(name, []).append(F.col(rest).contains("|" + "|".join(rule) + "|"))
+    for name, rule in MORE_RULES:
         by_license.setdefault(name, []).append(F.col(path).contains("|" + "|".join(rule) + "|"))
     hits = F.array(*[F.when(reduce(Column.__or__, some), F.lit(name)) for name, some in by_license.items()])
-    return found.select(*[col(c) for c in docs.columns], F.filter(F.col(ids), lambda i: i.isNotNull()).alias("sentence_ids"), F.filter(hits, lambda x: x.isNotNull()).alias("licenses"), F.size(cut).cast("bigint").alias("n_sentences"))
+    n = F.length(F.col(cut)) - F.length(F.translate(cut, "|/", "")) - 1
+    return found.select(*[col(c) for c in docs.columns], F.col(ids).alias("sentence_ids"), F.filter(hits, lambda x: x.isNotNull()).alias("licenses"), n.cast("bigint").alias("n_sentences"))

@@ -32,3 +32,66 @@ def test_only_column_expressions(odd, empty):
     assert not any(word in plan for word in ("Python", "Arrow", "Exchange"))
     assert {"sentence_ids", "licenses", "n_sentences"} <= set(out.columns) and out.count() == odd.count()
     assert scan(empty).count() == 0 and license_scan.sentences is not None
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_wrapped_licence_texts(spark):
+    whole = {"Apache-2.0": APACHE, "GPL-3.0-or-later": GPL3, "MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3}
+    signs = ("", "# ", "// ", " * ", "rem ", "\t;; ")
+    texts = [f"Some code.\n{s}" + f"\n{s}".join(text.split("\n")) + "\nMore code" for text in whole.values() for s in signs]
+    got = run(spark, *texts, BSD3.replace("\n", "\r\n"), BSD2 + "\nOther words.\n\n" + BSD3, BSD3.replace("1.", "(a)").replace("2.", "*").replace("3.", "iii)"))
+    assert [g[1] for g in got] == [[name] for name in whole for _ in signs] + [["BSD-3-Clause"], ["BSD-2-Clause", "BSD-3-Clause"], ["BSD-3-Clause"]]
+    assert [g[0] for g in got[:: len(signs)][:2]] == [["apache-head", "apache-copy", "apache-basis", "apache-terms"], ["gpl-free", "gpl-hope", "gpl-details"]]
+    torn = APACHE.replace("You may obtain", "Other words stand here.\nYou may obtain")
+    broken = "Released under the\nMIT License. Licensed under the\nother MIT License. Licensed under. The MIT License"
+    assert [g[:2] for g in run(spark, torn, broken)] == [(["apache-head", "apache-copy", "apache-basis", "apache-terms"], ["Apache-2.0"]), (["mit-ref"], ["MIT"])]
