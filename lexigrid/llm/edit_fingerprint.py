@@ -2,7 +2,8 @@
 
 The embedding (Chakraborty, Goldenberg and Koucky, 2016) walks over a text: at step j it writes the character under the pointer and
 moves the pointer on by 0 or 1, a random bit that all texts share for (j, character); after 3 n steps it ends (n: the length). Two walks that are apart
-by an edit meet again soon, so a small edit distance gives a small Hamming distance. Walks of many texts go side by side in numpy.
+by d characters meet again after some d * d steps, so a small edit distance gives a small Hamming distance. A text is walked once from
+its beginning to its end, however long; of a walk only the step at which it leaves each character is computed.
 
 A fingerprint has REGISTERS bytes. Register r hashes one position of the embedding with what stands there. The position is the one below
 3 n with the smallest random key of r: these keys' successive minima are the same for all texts, so texts of nearly the same length
@@ -31,14 +32,13 @@ LIKE = 0.8
 BANDS, BAND_REGISTERS = 40, 8
 #: Nodes of a bucket that are compared in one group, about.
 BUCKET = 8192
-#: The walk begins anew, with the same bits, at each piece of so many code points: long texts go side by side with themselves. An edit
-#: in one piece shifts the ones behind it, whose walks meet again soon after they begin.
-PIECE = 4096
+#: Walks end with their text and never begin anew: no string has so many code points.
+PIECE = 1 << 31
+#: Code points of a text that are walked at once.
+STRETCH = 1 << 16
 #: Random steps before the table repeats, and the characters' classes, the last of which stands for the end of a text.
 PERIOD = 4096
 CLASSES = 256
-#: Code points that are embedded side by side, at most, but for a single longer text.
-TOGETHER = 4 << 20
 
 
 @lru_cache(1)
@@ -63,36 +63,41 @@ def _records(limit: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(positions), np.searchsorted(registers, np.arange(REGISTERS))
 
 
+@lru_cache(1)
+def _stays() -> list[bytes]:
+    """By class and step (modulo PERIOD), the steps from the one that writes a character to the one that writes the next."""
+    moves = _moves()
+    out = np.zeros((CLASSES, PERIOD), "u1")
+    for c in range(CLASSES - 1):
+        on = np.flatnonzero(moves[:, c])
+        on = np.append(on, on[0] + PERIOD)
+        steps = np.arange(PERIOD)
+        out[c] = on[np.searchsorted(on, steps)] - steps + 1
+    return [row.tobytes() for row in out]
+
+
 class _Embedded:
-    """The embeddings of texts (classes of code points): 3 steps a code point, all walks side by side, the longest first."""
+    """The embeddings of texts (classes of code points): 3 steps a code point."""
 
     def __init__(self, texts: list[np.ndarray]):
+        self.texts = texts
         self.steps = [3 * len(t) for t in texts]
-        pieces = [t[at : at + PIECE] for t in texts for at in range(0, len(t), PIECE)]
-        self.piece = np.cumsum([0, *(-(-len(t) // PIECE) for t in texts)])
-        sizes = np.array([len(p) for p in pieces], "i8")
-        order = np.argsort(-sizes, kind="stable")
-        self.lane = np.empty(len(pieces), "i8")
-        self.lane[order] = np.arange(len(pieces))
-        sizes = sizes[order]
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        flat = np.full(int(sizes.sum()) + len(sizes), CLASSES - 1, "u1")
-        for k, at in zip(order.tolist(), starts.tolist(), strict=True):
-            flat[at : at + len(pieces[k])] = pieces[k]
-        live = np.searchsorted(-3 * sizes, -np.arange(3 * int(sizes[0]) if len(sizes) else 0))  # walks of over j steps
-        self.rows = np.concatenate([[0], np.cumsum(live)])
-        self.out, pointer, step, moves = np.empty(int(self.rows[-1]), "u1"), starts.astype("i4"), np.empty(len(pieces), "i4"), _moves()
-        begin = 0
-        for j, n in enumerate(live.tolist()):
-            here, p, s = self.out[begin : begin + n], pointer[:n], step[:n]
-            flat.take(p, out=here, mode="clip")
-            moves[j % PERIOD].take(here, out=s, mode="clip")
-            p += s
-            begin += n
 
     def at(self, text: int, positions: np.ndarray) -> np.ndarray:
-        piece, step = np.divmod(positions, 3 * PIECE)
-        return self.out[self.rows[step] + self.lane[self.piece[text] + piece]]
+        """What stands at these positions, in any order."""
+        points, stays, last, j = self.texts[text], _stays(), PERIOD - 1, 0
+        order = np.argsort(positions, kind="stable")
+        ordered = positions[order]
+        out, done = np.full(len(positions), CLASSES - 1, "u1"), 0
+        for begin in range(0, len(points), STRETCH):
+            if done == len(ordered):
+                break
+            some = points[begin : begin + STRETCH]
+            left = np.array([j := j + stays[c][j & last] for c in some.tobytes()])
+            upto = int(np.searchsorted(ordered, j))
+            out[order[done:upto]] = some[np.searchsorted(left, ordered[done:upto], "right")]
+            done = upto
+        return out
 
     def registers(self, text: int) -> np.ndarray:
         steps = self.steps[text]
@@ -112,21 +117,8 @@ def classes(text: str | None) -> np.ndarray:
     return np.where(points < 128, points, far).astype("u1")
 
 
-def _all_registers(texts: list[np.ndarray]) -> list[bytes]:
-    embedded = _Embedded(texts)
-    return [embedded.registers(k).tobytes() for k in range(len(texts))]
-
-
 def fingerprints_of(texts: list[str | None]) -> list[bytes]:
-    out, some, size = [], [], 0
-    for text in texts:
-        c = classes(text)
-        if some and size + len(c) > TOGETHER:
-            out += _all_registers(some)
-            some, size = [], 0
-        some.append(c)
-        size += len(c)
-    return out + _all_registers(some)
+    return [_Embedded([classes(text)]).registers(0).tobytes() for text in texts]
 
 
 def likeness(a: bytes, b: bytes) -> float:

@@ -81,3 +81,24 @@ def test_near_duplicates_against_all_pairs(spark, small, odd, empty):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in ef.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {rows[k][0]: (fps[k].hex(), low[root[k]]) for k in range(len(rows))}
     assert ef.near_duplicates(odd).count() == odd.count() and ef.near_duplicates(empty).count() == 0
+
+
+def test_long_texts_with_a_passage_put_in_front():
+    rng = random.Random(5)
+    for n, d in ((60_000, 30), (150_000, 30), (150_000, 50)):
+        near = []
+        for _ in range(8):
+            a = text(rng, n)
+            x, y = ef.fingerprints_of([a, a[:9] + text(rng, d) + a[9:]])
+            near.append(ef.likeness(x, y))
+        assert np.mean(near) > (0.8 if d == 30 else 0.7), (n, d, near)
+
+
+def test_walks_over_stretches(monkeypatch):
+    rng = random.Random(6)
+    a = text(rng, 3000)
+    want = slow_walk(ef.classes(a))
+    places = np.array(rng.choices(range(3 * len(a)), k=500))
+    for stretch in (1, 7, 1000, 3000, 1 << 16):
+        monkeypatch.setattr(ef, "STRETCH", stretch)
+        assert ef._Embedded([ef.classes(a)]).at(0, places).tolist() == [want[p] for p in places]
