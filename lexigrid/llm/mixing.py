@@ -115,11 +115,12 @@ def mix(docs: DataFrame, size_col: str, id_col: str = "doc_id", source_col: str
     passes = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(full))))
     by = Window.partitionBy(k_col, "pass").orderBy(F.xxhash64(F.lit(seed), F.col("pass"), F.col(k_col), F.col(block)), F.col(block))
     ranked = passes.withColumn("rank", F.row_number().over(by)).withColumn("upto", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("filled", F.count("*").over(Window.partitionBy(k_col, "pass")))  # empty blocks take no draw
     last = F.col("pass") == F.col(full)
     ranked = ranked.where(~last | (F.col("upto") <= F.col(rest)) | (F.col("upto") - F.col("size") < F.col(rest)))
     partly = last & (F.col("upto") > F.col(rest))
     left = F.when(partly, F.col(rest) - (F.col("upto") - F.col("size"))).alias("left")
-    drawn = stored(ranked.select(k_col, block, "pass", (F.col("pass") * F.col(n_blocks) + F.col("rank") - 1).alias("draw"), left), "draws")
+    drawn = stored(ranked.select(k_col, block, "pass", (F.col("pass") * F.col("filled") + F.col("rank") - 1).alias("draw"), left), "draws")
 
     quotas = [0] * len(rows)
     for r in drawn.groupBy(k_col).count().collect():  # one row a source

@@ -74,3 +74,9 @@ def test_rows_and_shards(small, tmp_path):
     assert rows.count() == mixed.select(F.sum(F.size("draws"))).first()[0]
     mixing.write_shards(mixed, str(tmp_path / "mix"))
     assert small.sparkSession.read.parquet(str(tmp_path / "mix")).count() == rows.count()
+
+
+def test_repeated_rows_leave_blocks_empty(spark):
+    rows = spark.createDataFrame([(1, "a", 3)] * 2000, "doc_id long, source string, size long")
+    got = mixing.mix(rows, "size", share=1.75, cap=4.0).selectExpr("sum(size * size(draws)) AS taken", "max(target) AS target", "max(source_size) AS source_size").first()
+    assert got["target"] > got["source_size"] == 6000 and abs(got["taken"] - got["target"]) <= 1.5
