@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import col, scratch_path, stored
+from ._base import col, filesystem, scratch_path, stored
 from ._tokens import encoder
 
 _HEAD = "<QI"
@@ -57,13 +56,6 @@ def unframed(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return payload, begin + size + 4
 
 
-def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    """Works for whatever store the shared folder is in (file:, hdfs:, viewfs:, s3:, gs:)."""
-    if uri.startswith("file:"):
-        uri = "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def _writer(out_dir: str, tokenizer: str, end_id: int | None):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()

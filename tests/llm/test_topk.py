@@ -24,17 +24,21 @@ def run(spark, rows, **kw):
 
 def test_index_against_matrix():
     rng = np.random.default_rng(1)
-    for n, width, spread in ((1, 3, 5), (70, 4, 1), (500, 8, 40), (300, 2, 3)):
-        values = rng.integers(-spread, spread + 1, (n, width))
-        index = topk.BitSlices(values)
-        for _ in range(10):
-            query = rng.integers(-spread, spread + 1, width)
-            scores = values @ query
-            slices, base = index.scores(query)
-            got = sum((np.unpackbits(s.view("u1"), bitorder="little")[:n].astype("i8") << k for k, s in enumerate(slices)), np.zeros(n, "i8")) + base
-            assert (got == scores).all()
-            want = sorted(range(n), key=lambda r: (-scores[r], r))[:20]
-            assert sorted(index.top(query, 20).tolist()) == sorted(want)
+    for n, width, spread in ((1, 3, 5), (70, 4, 1), (500, 8, 40), (300, 2, 3), (90, 3, 10**30), (5, 0, 1)):
+        draw = lambda *shape: (rng.integers(-40, 41, shape).astype(object) * (spread // 40) if spread > 10**9 else rng.integers(-spread, spread + 1, shape))  # noqa: B023, E731
+        values = draw(n, width)
+        ids = np.sort(rng.integers(0, 2 * n, n))
+        made = topk.BitSlices.of(ids, values)
+        for index in (made, topk.BitSlices.read(*made.record())):
+            for _ in range(10):
+                query = [int(w) for w in draw(width)]
+                scores = [sum(w * int(x) for w, x in zip(query, row, strict=True)) for row in values]
+                slices, base = index.scores(query)
+                got = [base + sum(int(np.unpackbits(s.view("u1"), bitorder="little")[r]) << p for p, s in enumerate(slices)) for r in range(n)]
+                assert got == scores
+                but = int(rng.choice(ids))
+                want = sorted((r for r in range(n) if ids[r] != but), key=lambda r: (-scores[r], r))[:20]
+                assert sorted(index.top(query, 20, but)) == sorted((scores[r], int(ids[r])) for r in want)
 
 
 def test_odd_vectors_ties_and_hot_vectors(spark, monkeypatch):
@@ -44,9 +48,31 @@ def test_odd_vectors_ties_and_hot_vectors(spark, monkeypatch):
     want = slow(rows)
     rows = [(i, v, "a", "b") for i, v in rows]
     assert run(spark, rows) == want
-    monkeypatch.setattr(topk, "CANDIDATES", 20)
-    monkeypatch.setattr(topk, "QUERIES", 3)
-    assert run(spark, rows) == want
+    for name, value in (("ROWS", 64), ("QUERIES", 3), ("PAIRS", 2), ("GROUP_BLOCKS", 1), ("GROUP_BYTES", 1)):
+        monkeypatch.setattr(topk, name, value)
+        assert run(spark, rows) == want
+
+
+def test_large_components_rank_exactly(spark, monkeypatch):
+    rng = random.Random(3)
+    for large in (3e5, 1e6, 1e12, 1e30):
+        rows = [(k, [rng.uniform(-1, 1) for _ in range(3)]) for k in range(50)] + [(k, [rng.choice([-large, large, large / 3]) * rng.random(), 0.5, 1.0]) for k in range(50, 90)]
+        want = [(q, n, i, s if -(1 << 63) <= s < 1 << 63 else None) for q, n, i, s in slow(rows)]
+        assert any(s is None for _, _, _, s in want) == (large > 1e9)
+        assert {i for _, _, i, _ in want} & set(range(50, 90))
+        made = [(i, v, "a", "b") for i, v in rows]
+        assert run(spark, made) == want
+        with monkeypatch.context() as m:
+            m.setattr(topk, "ROWS", 64)
+            m.setattr(topk, "GROUP_BLOCKS", 1)
+            assert run(spark, made) == want
+
+
+def test_unscaled_doubles_and_widths(spark):
+    rows = [(0, [1e308, 1.0]), (1, [1e308]), (2, [-1e308, 3.0, 9.0]), (3, []), (4, [0.0, 2.0]), (20, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in topk.top_k(df, F.col("vec_id") % 20 == 0).collect())
+    assert got == [(0, k, i) for k, i in enumerate((1, 4, 3, 20, 2), 1)] + [(20, k, i) for k, i in enumerate((0, 1, 2, 3, 4), 1)]
 
 
 def test_few_or_no_rows(spark):
