@@ -1,19 +1,23 @@
 """Document fingerprints: randomised edit embedding, then bit-sampled bands and verification.
 
 The embedding (Chakraborty, Goldenberg and Koucky, 2016) walks over a text: at step j it writes the character under the pointer and
-moves the pointer on by 0 or 1, a random bit that all texts share for (j, character); after 3 n steps it ends (n: the length). Two walks that are apart
+moves the pointer on by 0 or 1, a random bit that all texts share for (j, character), until it leaves the text. Two walks that are apart
 by d characters meet again after some d * d steps, so a small edit distance gives a small Hamming distance. A text is walked once from
 its beginning to its end, however long; of a walk only the step at which it leaves each character is computed.
 
-A fingerprint has REGISTERS bytes. Register r hashes one position of the embedding with what stands there. The position is the one below
-3 n with the smallest random key of r: these keys' successive minima are the same for all texts, so texts of nearly the same length
-look at the same positions, and every position of a whole text is as likely as any other. The share of equal registers estimates the
-share of equal positions. An empty text has zeros only, which no other register has.
+A fingerprint has REGISTERS bytes. Register r hashes one position of the embedding with what stands there. The position is the one
+within the walk with the smallest random key of r: these keys' successive minima are the same for all texts, so texts whose walks end
+at nearly the same step look at the same positions, and every position of a whole text is as likely as any other. The share of equal
+registers estimates the share of equal positions. An empty text has zeros only, which no other register has.
+
+ASCII characters have classes of their own; all other code points share 127 classes by a hash, so two such characters are taken for
+the same with a probability of 1 in 127, and texts in other scripts look a little more alike than they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,12 +32,13 @@ from ._components import star_forest
 REGISTERS = 128
 SEED = 42
 LIKE = 0.8
-#: Bands for candidates, and the registers of which each samples all bits: likeness 0.8 meets in a band with a probability of 0.9994.
-BANDS, BAND_REGISTERS = 40, 8
+#: Bands for candidates, and the registers of which each samples all bits: likeness 0.8 meets in a band with a probability of 0.991.
+#: With the band's number, a band's key is just 8 bytes.
+BANDS, BAND_REGISTERS = 20, 7
 #: Nodes of a bucket that are compared in one group, about.
 BUCKET = 8192
-#: Walks end with their text and never begin anew: no string has so many code points.
-PIECE = 1 << 31
+#: Buckets up to this size are compared all at once, larger ones node by node.
+SMALL = 8
 #: Code points of a text that are walked at once.
 STRETCH = 1 << 16
 #: Random steps before the table repeats, and the characters' classes, the last of which stands for the end of a text.
@@ -76,36 +81,34 @@ def _stays() -> list[bytes]:
     return [row.tobytes() for row in out]
 
 
-class _Embedded:
-    """The embeddings of texts (classes of code points): 3 steps a code point."""
+class Walk:
+    """The embedding of a text (classes of code points)."""
 
-    def __init__(self, texts: list[np.ndarray]):
-        self.texts = texts
-        self.steps = [3 * len(t) for t in texts]
+    def __init__(self, points: np.ndarray):
+        stays, last, j, parts = _stays(), PERIOD - 1, 0, []
+        for begin in range(0, len(points), STRETCH):
+            left = [j := j + stays[c][j & last] for c in points[begin : begin + STRETCH].tobytes()]
+            parts.append((left[-1], np.diff(left, prepend=parts[-1][0] if parts else 0).astype("u1")))
+        self.points, self.parts, self.steps = points, parts, j
 
-    def at(self, text: int, positions: np.ndarray) -> np.ndarray:
-        """What stands at these positions, in any order."""
-        points, stays, last, j = self.texts[text], _stays(), PERIOD - 1, 0
+    def at(self, positions: np.ndarray) -> np.ndarray:
+        """What stands at these positions, in any order; all are below steps."""
         order = np.argsort(positions, kind="stable")
-        ordered = positions[order]
-        out, done = np.full(len(positions), CLASSES - 1, "u1"), 0
-        for begin in range(0, len(points), STRETCH):
-            if done == len(ordered):
-                break
-            some = points[begin : begin + STRETCH]
-            left = np.array([j := j + stays[c][j & last] for c in some.tobytes()])
-            upto = int(np.searchsorted(ordered, j))
-            out[order[done:upto]] = some[np.searchsorted(left, ordered[done:upto], "right")]
-            done = upto
+        ordered, out, done, before = positions[order], np.zeros(len(positions), "u1"), 0, 0
+        for k, (end, stays) in enumerate(self.parts):
+            upto = int(np.searchsorted(ordered, end))
+            if upto > done:
+                left = before + np.cumsum(stays, dtype="i8")
+                out[order[done:upto]] = self.points[k * STRETCH + np.searchsorted(left, ordered[done:upto], "right")]
+            done, before = upto, end
         return out
 
-    def registers(self, text: int) -> np.ndarray:
-        steps = self.steps[text]
-        if not steps:
+    def registers(self) -> np.ndarray:
+        if not self.steps:
             return np.zeros(REGISTERS, "u1")
-        positions, first = _records(1 << (steps - 1).bit_length())
-        at = positions[first + np.add.reduceat(positions < steps, first) - 1]
-        mixed = (at.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) ^ ((self.at(text, at).astype("u8") + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
+        positions, first = _records(1 << (self.steps - 1).bit_length())
+        at = positions[first + np.add.reduceat(positions < self.steps, first) - 1]
+        mixed = (at.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) ^ ((self.at(at).astype("u8") + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return ((mixed >> np.uint64(33)) % np.uint64(255) + np.uint64(1)).astype("u1")
 
@@ -118,7 +121,7 @@ def classes(text: str | None) -> np.ndarray:
 
 
 def fingerprints_of(texts: list[str | None]) -> list[bytes]:
-    return [_Embedded([classes(text)]).registers(0).tobytes() for text in texts]
+    return [Walk(classes(text)).registers().tobytes() for text in texts]
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -157,41 +160,111 @@ def _spanning(fps: np.ndarray, like: float) -> list[tuple[int, int]]:
     return links
 
 
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, fp) -> (key, node) for each band; the key is the registers sampled and the band's number."""
+    for batch in batches:
+        fps = _matrix(batch.column(1))
+        for band, sampled in enumerate(sampled_registers()):
+            keys = np.concatenate([fps[:, sampled], np.full((len(fps), 1), band, "u1")], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(keys).view("<i8").ravel()), batch.column(0)], names=["key", "node"])
+
+
+def _verifier(like: float):
+    """Rows (key, chunk, node, fp) sorted by key and chunk -> links (u, v) that connect what likenesses within a chunk of a bucket do."""
+
+    def links(nodes: np.ndarray, fps: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        u, v = [], []
+        owner, few = np.repeat(starts, sizes), np.repeat(sizes <= SMALL, sizes)
+        for lag in range(1, min(SMALL, len(nodes))):
+            at = np.flatnonzero((owner[lag:] == owner[:-lag]) & few[lag:])
+            at = at[(fps[at + lag] == fps[at]).mean(1) >= like]
+            u.append(nodes[at + lag])
+            v.append(nodes[at])
+        for at, n in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+            own = np.array(_spanning(fps[at : at + n], like), "i8").reshape(-1, 2)
+            u.append(nodes[at + own[:, 0]])
+            v.append(nodes[at + own[:, 1]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "i8"), *x])) for x in (u, v)], names=["u", "v"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, nodes, fps = np.zeros((0, 2), "i8"), np.zeros(0, "i8"), np.zeros((0, REGISTERS), "u1")
+        for batch in batches:
+            where = np.concatenate([where, np.stack([batch.column(i).to_numpy() for i in range(2)], 1)])
+            nodes, fps = np.concatenate([nodes, batch.column(2).to_numpy()]), np.concatenate([fps, _matrix(batch.column(3))])
+            starts = np.concatenate([[0], np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1])
+            last = int(starts[-1]) if len(where) else 0  # the last one may go on
+            if last:
+                yield links(nodes[:last], fps[:last], starts[:-1], np.diff(starts))
+            where, nodes, fps = where[last:], nodes[last:], fps[last:]
+        if len(where) > 1:
+            yield links(nodes, fps, np.zeros(1, "i8"), np.array([len(nodes)]))
+
+    return verify
+
+
+def _across(like: float):
+    """Of a group of rows (label, minor, node, fp), links of the minor rows to one near row of each other label."""
+
+    def link(group: pa.Table) -> pa.Table:
+        labels, minor, nodes = (group.column(c).to_numpy() for c in ("label", "minor", "node"))
+        fps, u, v = _matrix(group.column("fp")), [], []
+        for x in np.flatnonzero(minor):
+            near = np.flatnonzero(((fps == fps[x]).mean(1) >= like) & (labels != labels[x]))
+            near = near[np.unique(labels[near], return_index=True)[1]]
+            u += [nodes[x]] * len(near)
+            v += nodes[near].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return link
+
+
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    stars = star_forest(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return nodes.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def classes_of(marked: DataFrame, like: float = LIKE) -> DataFrame:
+    """From rows (id, fp), a row for each fingerprint: fp, n (its rows), low (the smallest id among them) and component_id, the smallest
+    id that links of at least this likeness reach.
+
+    Equal fingerprints are one node first. Candidates agree on all sampled bits of a band. Fingerprints go only to buckets that two
+    nodes are in, and a bucket yields links that connect what all its links do. Of a bucket of over BUCKET nodes, chunks are compared
+    within first; then, as many near copies are in one component by now, its nodes of other components than the most frequent one are
+    compared with all of its chunks. So no group is large and no link lost, and a hot bucket of copies costs no all-pairs work.
+    """
+    nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "edit-nodes")
+    keyed = nodes.select("node", "fp").mapInArrow(_banded, "key bigint, node bigint")
+    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1), "edit-sizes")
+    met = keyed.join(sizes, "key").join(nodes.select("node", "fp"), "node")
+    met = stored(met.select("key", F.ceil(F.col("size") / BUCKET).alias("chunks"), "node", "fp"), "edit-met")
+    chunk = F.pmod(F.xxhash64("node", "key"), F.col("chunks"))
+    dealt = met.select("key", chunk.alias("chunk"), "node", "fp").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    links = stored(dealt.mapInArrow(_verifier(like), "u bigint, v bigint"), "edit-links")
+    hot = met.where(F.col("chunks") > 1)
+    if not hot.isEmpty():
+        labelled = stored(hot.join(_labelled(nodes.select("node"), links), "node").withColumnRenamed("root", "label"), "edit-hot")
+        counts = labelled.groupBy("key", "label").agg(F.count("*").alias("held"))
+        major = counts.groupBy("key").agg(F.max_by("label", F.struct("held", "label")).alias("major"), F.sum("held").alias("all"), F.max("held").alias("most"))
+        major = stored(major.where(F.col("all") > F.col("most")).select("key", "major", F.ceil((F.col("all") - F.col("most")) / BUCKET).alias("others")), "edit-major")
+        both = labelled.join(major, "key").withColumn("minor", F.col("label") != F.col("major"))
+        every = both.select("*", chunk.alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("others") - 1)).alias("b")).withColumn("minor", F.lit(False))
+        some = both.where("minor").select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("a"), F.pmod(F.xxhash64("key", "node"), F.col("others")).alias("b"))
+        pairs = every.unionByName(some).select("key", "a", "b", "label", "minor", "node", "fp")
+        links = links.union(stored(pairs.groupBy("key", "a", "b").applyInArrow(_across(like), "u bigint, v bigint"), "edit-links"))
+    rooted = _labelled(nodes, links)
+    least = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "edit-roots")
+    return stored(rooted.join(least, "root").select("fp", "n", "low", "component_id"), "edit-labels")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
     """One row per row of docs: its id, fingerprint (hex) and component_id, the smallest id that links of at least this likeness reach.
 
-    Equal fingerprints are one node first. Candidates agree on all sampled bits of a band; in a bucket, links that connect the same
-    nodes as all of them are kept. A bucket of over BUCKET nodes is cut into chunks, and each pair of chunks is compared in a group of
-    its own, so nothing is lost and no group is large. Null texts are empty. An empty table gives an empty table.
+    Null texts are empty. Rows that repeat an id and text come back as often as they are there; a null id is never the smallest unless
+    its whole component has none. An empty table gives an empty table. Other columns, whatever their names, are not looked at.
     """
     plain = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    marked = stored(fingerprint(plain, "text", "fp").select("id", "fp", F.xxhash64("fp").alias("node")), "edit-fingerprints")
-    nodes = stored(marked.groupBy("node").agg(F.min("id").alias("low"), F.min("fp").alias("fp")), "edit-nodes")
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = _matrix(batch.column(1))
-            for band, sampled in enumerate(sampled_registers()):
-                keys = np.ascontiguousarray(fps[:, sampled]).view("<i8").ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), band, "i4")), pa.array(keys), batch.column(0), batch.column(1)], names=["band", "key", "node", "fp"])
-
-    def verify(bucket: pa.Table) -> pa.Table:
-        ids = bucket.column("node").to_numpy()
-        links = np.array(_spanning(_matrix(bucket.column("fp")), like), "i8").reshape(-1, 2)
-        return pa.table({"u": ids[links[:, 0]], "v": ids[links[:, 1]]})
-
-    keyed = stored(nodes.select("node", "fp").mapInArrow(banded, "band int, key bigint, node bigint, fp binary"), "edit-bands")
-    sizes = stored(keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "edit-sizes")
-    met = keyed.join(sizes, ["band", "key"]).withColumn("chunks", F.ceil(F.col("n") / BUCKET))
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-    met = met.withColumn("a", F.least(chunk, "other")).withColumn("b", F.greatest(chunk, "other"))
-    links = stored(met.select("band", "key", "a", "b", "node", "fp").groupBy("band", "key", "a", "b").applyInArrow(verify, "u bigint, v bigint"), "edit-links")
-    stars = star_forest(links)
-    rooted = nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    least = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "edit-roots")
-    labels = stored(rooted.join(least, "root").select("node", "component_id"), "edit-labels")
-    return marked.join(labels, "node").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    marked = stored(fingerprint(plain, "text", "fp").select("id", "fp"), "edit-fingerprints")
+    return marked.join(classes_of(marked, like).select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def edited(text: str, after: str) -> str:
@@ -233,34 +306,45 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows([(before, first)])
 
 
-def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_part: int = 512, most_parts: int = 1 << 16) -> DataFrame:
+def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_part: int = 256, most_parts: int = 1 << 16) -> DataFrame:
     """For each document: doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (hex), near_edited, near_next; the edited
     text takes the place of its last third from the next document, in descending order of id (after the last: the first).
 
-    Some ids, chosen by a hash, at most about most_parts, cut the order into parts; a row that begins a part also ends the one before
-    it, so whole texts move once, and no order of all rows is needed. A null text is empty. Null ids come last, rows that repeat an id
-    follow one another by text. A single document is its own next. An empty table gives an empty table.
+    The order is by id, then by a hash of the text, then by the text; ids must be integers, null ids come last. Some places in it, chosen
+    by a hash of id and text, at most about most_parts, cut it into parts, so an id that many rows repeat is many parts too; a row that
+    begins a part also ends the one before it. Whole texts move once, and no order of all rows is needed. Rows that are equal in id and
+    text stream through one task. A null text is empty. A single document is its own next. An empty table gives an empty table.
     """
-    plain = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
-    n, top = plain.agg(F.count("*"), F.max("id")).first()
-    every = max(rows_per_part, -(-n // most_parts))
-    cuts = plain.select("id").where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).where(F.col("id").isNotNull()).distinct().collect()
-    cuts = np.sort(np.array([r["id"] for r in cuts], "i8"))
+    plain = docs.select(col(id_col).cast("bigint").alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    every = max(rows_per_part, -(-docs.count() // most_parts))
+    place = F.struct(F.col("id").isNull().alias("none"), F.coalesce(F.bitwise_not("id"), F.lit(0).cast("bigint")).alias("down"), "h")
+    cuts = F.collect_set(F.when(F.pmod(F.xxhash64("id", "h"), F.lit(every)) == 0, place))
+    found = plain.agg(cuts.alias("cuts"), F.min(place).alias("top")).first()
+    top, cuts = found["top"] and tuple(found["top"]), sorted(map(tuple, found["cuts"]))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Part p holds the ids that p cuts are not below. A cut is the first of its part."""
+        """Part p holds the rows that p cuts are not behind. A cut is the first of its part."""
+        known = set(cuts)
         for batch in batches:
-            ids, known = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            below = np.searchsorted(cuts, ids, "left")
-            part = np.where(known, len(cuts) - below, len(cuts))
-            at_cut = known & np.isin(ids, cuts)
-            wrap = known & (ids == top) & bool(len(cuts))
-            rows = np.concatenate([np.arange(len(ids)), np.flatnonzero(at_cut), np.flatnonzero(wrap)])
-            parts = np.concatenate([part, part[at_cut] - 1, np.full(int(wrap.sum()), len(cuts))])
-            tails = np.arange(len(rows)) >= len(ids)
-            some = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(parts.astype("i8")), pa.array(tails), *some.columns], names=["part", "tail", "id", "text"])
-
-    dealt = plain.mapInArrow(deal, "part bigint, tail boolean, id bigint, text string")
-    ordered = dealt.repartition("part").sortWithinPartitions("part", "tail", F.desc_nulls_last("id"), "text")
+            keys = [(i is None, 0 if i is None else ~i, h) for i, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            part = [bisect_right(cuts, key) for key in keys]
+            at_cut = [k for k, key in enumerate(keys) if key in known and part[k]]
+            wrap = [k for k, key in enumerate(keys) if cuts and key == top]
+            rows = pa.array([*range(len(keys)), *at_cut, *wrap])
+            parts = [*part, *(part[k] - 1 for k in at_cut), *([len(cuts)] * len(wrap))]
+            tails = [k >= len(keys) for k in range(len(rows))]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(tails), *batch.take(rows).columns], names=["part", "tail", "id", "text", "h"])
+
+    dealt = plain.select("id", "text", "h").mapInArrow(deal, "part bigint, tail boolean, id bigint, text string, h bigint")
+    ordered = dealt.repartition("part").sortWithinPartitions("part", "tail", F.desc_nulls_last("id"), "h", "text").drop("h")
     return ordered.mapInArrow(_compare, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def fingerprints_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
+    """edit_likeness with component_id: the smallest id that links of at least this likeness reach, as near_duplicates has it."""
+    plain = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text"))
+    classes = classes_of(fingerprint(plain, "text", "fp").select("id", "fp"), like)
+    # a fingerprint of one row that leads its component needs no looking up
+    told = stored(classes.where((F.col("n") > 1) | ~F.col("component_id").eqNullSafe(F.col("low"))).select("fp", "component_id"), "edit-told")
+    rows = edit_likeness(docs, id_col, text_col).join(told, F.unhex("fingerprint") == F.col("fp"), "left")
+    return rows.withColumn("component_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).drop("fp")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ._base import stored, table
 from .chat import format_conversations, read_back
-from .edit_fingerprint import edit_likeness
+from .edit_fingerprint import fingerprints_and_classes
 from .langid import fit, held_out, identify
 from .license_scan import RULES, known_sentences, scan
 from .line_dedup import dedup_lines
@@ -118,7 +118,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fingerprints_and_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
