@@ -3,7 +3,7 @@
 The embedding (Chakraborty, Goldenberg and Koucky, 2016) walks over a text: at step j it writes the character under the pointer and
 moves the pointer on by 0 or 1, a random bit that all texts share for (j, character), until it leaves the text. Two walks that are apart
 by d characters meet again after some d * d steps, so a small edit distance gives a small Hamming distance. A text is walked once from
-its beginning to its end, however long; of a walk only the step at which it leaves each character is computed.
+its beginning to its end, however long; of a walk only the steps that it stays at each character are computed, a byte each.
 
 A fingerprint has REGISTERS bytes. Register r hashes one position of the embedding with what stands there. The position is the one
 within the walk with the smallest random key of r: these keys' successive minima are the same for all texts, so texts whose walks end
@@ -17,7 +17,7 @@ the same with a probability of 1 in 127, and texts in other scripts look a littl
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._base import col, stored
+from ._base import col, giving_back, stored
 from ._components import star_forest
 
 REGISTERS = 128
@@ -39,8 +41,10 @@ BANDS, BAND_REGISTERS = 20, 7
 BUCKET = 8192
 #: Buckets up to this size are compared all at once, larger ones node by node.
 SMALL = 8
-#: Code points of a text that are walked at once.
-STRETCH = 1 << 16
+#: Code points of a text that are looked at together; and of each text when many are walked side by side, which FEW are not.
+STRETCH, STRIP, FEW = 1 << 16, 256, 32
+#: Bytes of the texts that a worker walks side by side, about.
+TOGETHER = 16 << 20
 #: Random steps before the table repeats, and the characters' classes, the last of which stands for the end of a text.
 PERIOD = 4096
 CLASSES = 256
@@ -69,7 +73,7 @@ def _records(limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(1)
-def _stays() -> list[bytes]:
+def _stays() -> np.ndarray:
     """By class and step (modulo PERIOD), the steps from the one that writes a character to the one that writes the next."""
     moves = _moves()
     out = np.zeros((CLASSES, PERIOD), "u1")
@@ -78,39 +82,84 @@ def _stays() -> list[bytes]:
         on = np.append(on, on[0] + PERIOD)
         steps = np.arange(PERIOD)
         out[c] = on[np.searchsorted(on, steps)] - steps + 1
-    return [row.tobytes() for row in out]
+    return out
+
+
+@lru_cache(1)
+def _stays_by_class() -> list[bytes]:
+    return [row.tobytes() for row in _stays()]
+
+
+def stays(points: list[np.ndarray], starts: list[int] | None = None) -> list[np.ndarray]:
+    """For each text (classes of code points) how many steps its walk, from this step on, stays at each character. Texts are walked side
+    by side, character by character; the few that are longer than all others one by one."""
+    order = sorted(range(len(points)), key=lambda k: -len(points[k]))
+    texts, lengths = [points[k] for k in order], [-len(points[k]) for k in order]
+    now = np.array([starts[k] if starts else 0 for k in order], "i8")
+    out = [np.empty(len(t), "u1") for t in texts]
+    flat, last, at = _stays().ravel(), PERIOD - 1, 0
+    while (active := bisect_left(lengths, -at)) >= FEW:
+        block = np.zeros((STRIP, active), "i8")
+        for k in range(active):
+            some = texts[k][at : at + STRIP]
+            block[: len(some), k] = some
+        block *= PERIOD
+        own, place, steps = now[:active], np.empty(active, "i8"), np.empty((STRIP, active), "u1")
+        for k in range(min(STRIP, -lengths[0] - at)):
+            np.bitwise_and(own, last, out=place)
+            place += block[k]
+            np.take(flat, place, out=steps[k], mode="clip")
+            own += steps[k]
+        for k in range(active):
+            some = out[k][at : at + STRIP]
+            some[:] = steps[: len(some), k]
+        at += STRIP
+    rows = _stays_by_class()
+    for k in range(active):
+        j = int(now[k])
+        for begin in range(at, len(texts[k]), STRETCH):
+            first = j
+            left = [j := j + rows[c][j & last] for c in texts[k][begin : begin + STRETCH].tobytes()]
+            out[k][begin : begin + STRETCH] = np.diff(left, prepend=first)
+    done = [np.zeros(0, "u1")] * len(points)
+    for k, own in zip(order, out, strict=True):
+        done[k] = own
+    return done
 
 
 class Walk:
-    """The embedding of a text (classes of code points)."""
+    """The embedding of a text (classes of code points), from how long its walk stays at each."""
 
-    def __init__(self, points: np.ndarray):
-        stays, last, j, parts = _stays(), PERIOD - 1, 0, []
-        for begin in range(0, len(points), STRETCH):
-            left = [j := j + stays[c][j & last] for c in points[begin : begin + STRETCH].tobytes()]
-            parts.append((left[-1], np.diff(left, prepend=parts[-1][0] if parts else 0).astype("u1")))
-        self.points, self.parts, self.steps = points, parts, j
+    def __init__(self, points: np.ndarray, stays: np.ndarray):
+        self.points, self.stays = points, stays
+        self.ends = np.cumsum(np.add.reduceat(stays, np.arange(0, len(stays), STRETCH), dtype="i8")) if len(stays) else np.zeros(0, "i8")
+        self.steps = int(self.ends[-1]) if len(stays) else 0
 
     def at(self, positions: np.ndarray) -> np.ndarray:
         """What stands at these positions, in any order; all are below steps."""
         order = np.argsort(positions, kind="stable")
         ordered, out, done, before = positions[order], np.zeros(len(positions), "u1"), 0, 0
-        for k, (end, stays) in enumerate(self.parts):
+        for k, end in enumerate(self.ends.tolist()):
             upto = int(np.searchsorted(ordered, end))
             if upto > done:
-                left = before + np.cumsum(stays, dtype="i8")
+                left = before + np.cumsum(self.stays[k * STRETCH : (k + 1) * STRETCH], dtype="i8")
                 out[order[done:upto]] = self.points[k * STRETCH + np.searchsorted(left, ordered[done:upto], "right")]
             done, before = upto, end
         return out
 
-    def registers(self) -> np.ndarray:
+    def fingerprint(self) -> bytes:
         if not self.steps:
-            return np.zeros(REGISTERS, "u1")
+            return bytes(REGISTERS)
         positions, first = _records(1 << (self.steps - 1).bit_length())
         at = positions[first + np.add.reduceat(positions < self.steps, first) - 1]
         mixed = (at.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) ^ ((self.at(at).astype("u8") + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return ((mixed >> np.uint64(33)) % np.uint64(255) + np.uint64(1)).astype("u1")
+        return ((mixed >> np.uint64(33)) % np.uint64(255) + np.uint64(1)).astype("u1").tobytes()
+
+
+def walks(texts: list[str | None]) -> list[Walk]:
+    points = [classes(text) for text in texts]
+    return [Walk(p, s) for p, s in zip(points, stays(points), strict=True)]
 
 
 def classes(text: str | None) -> np.ndarray:
@@ -121,7 +170,7 @@ def classes(text: str | None) -> np.ndarray:
 
 
 def fingerprints_of(texts: list[str | None]) -> list[bytes]:
-    return [Walk(classes(text)).registers().tobytes() for text in texts]
+    return [walk.fingerprint() for walk in walks(texts)]
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -129,10 +178,29 @@ def likeness(a: bytes, b: bytes) -> float:
     return float((np.frombuffer(a, "u1") == np.frombuffer(b, "u1")).mean())
 
 
-def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
-    """docs with the fingerprint (binary) of each whole text; a null text is an empty one."""
-    of = F.arrow_udf(lambda texts: pa.array(fingerprints_of(texts.to_pylist()), pa.binary()), "binary")
-    return docs.withColumn(name, of(col(text_col).cast("string")))
+def gathered(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[list[list]]:
+    """The columns of the batches as lists, many batches together: up to TOGETHER bytes of the column of texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if size > TOGETHER:
+            yield [[x for b in held for x in b.column(k).to_pylist()] for k in range(batch.num_columns)]
+            held, size = [], 0
+    if held:
+        yield [[x for b in held for x in b.column(k).to_pylist()] for k in range(held[0].num_columns)]
+
+
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp): the fingerprint (binary) of each whole text; a null text is an empty one."""
+    plain = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
+    kind = T.StructType([plain.schema["id"], T.StructField("fp", T.BinaryType())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in gathered(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(kind[0].dataType)), pa.array(fingerprints_of(texts), pa.binary())], names=["id", "fp"])
+
+    return plain.mapInArrow(giving_back(mark), kind)
 
 
 def sampled_registers() -> np.ndarray:
@@ -262,8 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null texts are empty. Rows that repeat an id and text come back as often as they are there; a null id is never the smallest unless
     its whole component has none. An empty table gives an empty table. Other columns, whatever their names, are not looked at.
     """
-    plain = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    marked = stored(fingerprint(plain, "text", "fp").select("id", "fp"), "edit-fingerprints")
+    marked = stored(fingerprint(docs, id_col, text_col), "edit-fingerprints")
     return marked.join(classes_of(marked, like).select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
@@ -273,25 +340,33 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - n] + after[:n]
 
 
+def _edited_walks(pairs: list[tuple[Walk, Walk]]) -> list[Walk]:
+    """The walks of edited texts, from those of the texts and the next ones: up to the place of the edit they are the texts' own."""
+    sizes = [len(a.points) // 3 for a, _ in pairs]
+    kept = [(a.points[: len(a.points) - n], a.stays[: len(a.points) - n]) for (a, _), n in zip(pairs, sizes, strict=True)]
+    tails = [b.points[:n] for (_, b), n in zip(pairs, sizes, strict=True)]
+    more = stays(tails, [int(own.sum(dtype="i8")) for _, own in kept])
+    return [Walk(np.concatenate([p, tail]), np.concatenate([own, on])) for (p, own), tail, on in zip(kept, tails, more, strict=True)]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (part, tail, id, text) in order -> what each row that is no tail is beside the next."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def rows(pairs: list[tuple[tuple, tuple]]) -> pa.RecordBatch:
-        texts = [edited(a[3], b[3]) for a, b in pairs]
         out = []
-        for (a, b), text, fp in zip(pairs, texts, fingerprints_of(texts), strict=True):
-            out.append((a[2], len(a[3]), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), a[4].hex(), fp.hex(), likeness(a[4], fp), likeness(a[4], b[4])))
+        for (a, b), walk in zip(pairs, _edited_walks([(a[4], b[4]) for a, b in pairs]), strict=True):
+            fp, digest = walk.fingerprint(), hashlib.sha256(edited(a[3], b[3]).encode("utf-8", "surrogatepass")).hexdigest()
+            out.append((a[2], len(a[3]), digest, a[5].hex(), fp.hex(), likeness(a[5], fp), likeness(a[5], b[5])))
         columns = list(zip(*out, strict=True)) or [()] * len(names)
         kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     first = before = None
-    for batch in batches:
-        part, tail, ids, texts = (batch.column(i).to_pylist() for i in range(4))
+    for part, tail, ids, texts in gathered(batches, 3):
         texts = [t or "" for t in texts]
-        pairs = []
-        for row in zip(part, tail, ids, texts, fingerprints_of(texts), strict=True):
+        own, pairs = walks(texts), []
+        for row in zip(part, tail, ids, texts, own, [walk.fingerprint() for walk in own], strict=True):
             if before is not None and before[0] != row[0]:
                 if not before[1]:
                     pairs.append((before, first))  # a part without a tail is the only one
@@ -337,13 +412,12 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     dealt = plain.select("id", "text", "h").mapInArrow(deal, "part bigint, tail boolean, id bigint, text string, h bigint")
     ordered = dealt.repartition("part").sortWithinPartitions("part", "tail", F.desc_nulls_last("id"), "h", "text").drop("h")
-    return ordered.mapInArrow(_compare, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(giving_back(_compare), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def fingerprints_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
     """edit_likeness with component_id: the smallest id that links of at least this likeness reach, as near_duplicates has it."""
-    plain = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text"))
-    classes = classes_of(fingerprint(plain, "text", "fp").select("id", "fp"), like)
+    classes = classes_of(fingerprint(docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text")), "id", "text"), like)
     # a fingerprint of one row that leads its component needs no looking up
     told = stored(classes.where((F.col("n") > 1) | ~F.col("component_id").eqNullSafe(F.col("low"))).select("fp", "component_id"), "edit-told")
     rows = edit_likeness(docs, id_col, text_col).join(told, F.unhex("fingerprint") == F.col("fp"), "left")

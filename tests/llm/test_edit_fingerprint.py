@@ -39,8 +39,8 @@ def text(rng, n):
 def test_walks_and_fingerprints():
     rng = random.Random(1)
     texts = [text(rng, n) for n in (0, 1, 2, 3, 500, 4096, 4097)]
-    for t in texts:
-        walk, want = ef.Walk(ef.classes(t)), slow_walk(ef.classes(t))
+    for t, walk in zip(texts, ef.walks(texts), strict=True):
+        want = slow_walk(ef.classes(t))
         assert walk.steps == len(want) and walk.at(np.arange(walk.steps)).tolist() == want
     assert ef.fingerprints_of(texts) == [slow_fingerprint(t) for t in texts]
     assert ef.fingerprints_of([None]) == ef.fingerprints_of([""]) == [bytes(ef.REGISTERS)]
@@ -165,4 +165,17 @@ def test_walks_over_stretches(monkeypatch):
     places = np.array(rng.choices(range(len(want)), k=500))
     for stretch in (1, 7, 1000, 3000, 1 << 16):
         monkeypatch.setattr(ef, "STRETCH", stretch)
-        assert ef.Walk(ef.classes(a)).at(places).tolist() == [want[p] for p in places]
+        assert ef.walks([a])[0].at(places).tolist() == [want[p] for p in places]
+
+
+def test_side_by_side_as_one_by_one(monkeypatch):
+    rng = random.Random(9)
+    texts = [text(rng, n) for n in (0, 1, 2, 255, 256, 257, 700, 700, 1500, 3)]
+    want = [w.stays.tolist() for w in ef.walks(texts)]
+    for few, strip in ((1, 256), (1, 3), (4, 64), (100, 256)):
+        monkeypatch.setattr(ef, "FEW", few)
+        monkeypatch.setattr(ef, "STRIP", strip)
+        assert [w.stays.tolist() for w in ef.walks(texts)] == want
+        pairs = list(zip(ef.walks(texts), ef.walks(texts[::-1]), strict=True))
+        edited = ef._edited_walks(pairs)
+        assert [w.fingerprint() for w in edited] == ef.fingerprints_of([ef.edited(a, b) for a, b in zip(texts, texts[::-1], strict=True)])
