@@ -8,14 +8,14 @@ WHITE = "\t\n\x0b\x0c\r "
 def slow(rows, least=20, docs=3):
     lower = {c: c + 32 for c in range(65, 91)}
     keyed = [(i, [(line, line.strip(WHITE).translate(lower)) for line in (t or "").split("\n")]) for i, t in rows]
-    holders = defaultdict(list)
+    holders = defaultdict(set)
     for i, lines in keyed:
-        for key in {k for _, k in lines if len(k) >= least}:
-            holders[key].append(i)
-    top = lambda ids: max((i for i in ids if i is not None), default=None)
+        for _, key in lines:
+            if len(key) >= least and i is not None:
+                holders[key].add(i)
     out = []
     for i, lines in keyed:
-        kept = [line for line, k in lines if len(holders[k]) < docs or i == top(holders[k])]
+        kept = [line for line, k in lines if len(holders[k]) < docs or i == max(holders[k])]
         out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return sorted(out, key=str)
 
@@ -41,3 +41,12 @@ def test_twenty_code_points(spark):
     rows = [(k, "é" * 19 + "\n" + "é" * 20) for k in range(3)]
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r["n_dropped"] for r in got] == [1, 1, 0]
+
+
+def test_rows_of_one_document_hold_a_line_once(spark):
+    line = "a line that is long enough"
+    for ids in ([1, 1, 2], [1, 1, 2, 3], [1, None, None, 2], [None, 1, 2, 3], [None] * 4):
+        rows = [(i, f"{line}\nown {k}") for k, i in enumerate(ids)]
+        got = [tuple(r) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+        assert sorted(got, key=str) == slow(rows)
+    assert [d for *_, d in slow([(1, line), (1, line), (2, line)])] == [0, 0, 0]
