@@ -122,9 +122,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = stored(docs.select("doc_id", "source", words().alias("size")), "sizes")
+    sized = stored(docs.select("doc_id", "source", words().alias("size"), F.xxhash64("text").alias("text_hash")), "sizes")
     mixed = mix(sized, "size")
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("bigint").alias("taken"))
+    taken = (F.col("size") * F.size("draws")).cast("bigint")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("draws")["shard"].alias("shards"), F.col("draws")["place"].alias("places"))
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
