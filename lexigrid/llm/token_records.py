@@ -6,7 +6,8 @@ the end id fit, else 4), then the token ids (unsigned).
 The index file has, per record, its offset and the number of ids in the records before it in the file (unsigned 64-bit each), then
 the file's size and all its ids: any record is found with one seek, in whatever order a reader shuffles them.
 
-Files are in ascending order of id: a range shuffle by id, one data file and one index file a partition. Their names are new for each
+Files are in ascending order of id, then of a hash of the text, so that an id, or none, that many rows have is many files: a range
+shuffle, one data file and one index file a partition. Their names are new for each
 attempt; only files in the manifest belong to the data set, so retried and speculative tasks do no harm.
 """
 
@@ -29,8 +30,8 @@ from ._tokens import encoder
 _HEAD = "<QI"
 _ID = "<BqB"
 _CRC = "<I"
-#: Records that a reading task takes at once.
-CHUNK = 4096
+#: Records that a reading task takes at once, and bytes for a task, about.
+CHUNK, TASK_BYTES = 4096, 16 << 20
 MANIFEST = "shard bigint, path string, n_records bigint, n_ids bigint, n_bytes bigint"
 
 
@@ -90,14 +91,17 @@ def _writer(out_dir: str, tokenizer: str, end_id: int | None):
 
 
 def write_records(docs: DataFrame, tokenizer: str, end_id: int | None, out_dir: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every whole text, append end_id, write files in ascending id order (nulls first, ties by text); returns the manifest.
+    """Encode every whole text, append end_id, write files in ascending id order (nulls first, ties by a hash of the text, then the text);
+    returns the manifest.
 
     A null text is an empty one. An empty table writes nothing. tokenizer: a file of the tokenizers library, at the same path on every
-    machine. The ids of documents must be integers.
+    machine. A control string of the tokenizer that stands in a text is ordinary text there, so that no text can end its document. The
+    ids of documents must be integers.
     """
     out_dir = out_dir or scratch_path(docs.sparkSession, "records")
     plain = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
-    manifest = plain.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(_writer(out_dir, tokenizer, end_id), MANIFEST)
+    ranged = plain.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text")
+    manifest = ranged.select("id", "text").mapInArrow(_writer(out_dir, tokenizer, end_id), MANIFEST)
     return stored(manifest, "manifest")
 
 
@@ -130,4 +134,6 @@ def read_records(manifest: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
     based = stored(manifest.where(F.col("n_records") > 0).withColumn("base", before), "bases")
     chunks = based.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_records") - 1, F.lit(CHUNK).cast("bigint"))).alias("first"), "base")
-    return chunks.repartition("path", "first").mapInArrow(_reader, "doc_id bigint, start bigint, ids binary")
+    size, n = based.agg(F.sum("n_bytes"), F.sum(F.ceil(F.col("n_records") / CHUNK))).first()
+    tasks = max(1, min(n or 1, -(-(size or 0) // TASK_BYTES)))  # stated, as adaptive execution would see paths, not what they hold
+    return chunks.repartition(tasks, "path", "first").mapInArrow(_reader, "doc_id bigint, start bigint, ids binary")
