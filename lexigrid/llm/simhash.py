@@ -178,6 +178,15 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp", word
     return docs.withColumn(name, of(col(text_col).cast("string")))
 
 
+def _labelled(marked: DataFrame) -> DataFrame:
+    """From a stored table with fp and id, a row for each fp: fp, root (one fp of its component) and component_id."""
+    nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
+    stars = star_forest(near_links(nodes.select("fp")))
+    rooted = nodes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    least = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "roots")
+    return stored(rooted.join(least, "root").select("fp", "root", "component_id"), "labels")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per row of docs: its id, fingerprint (16 lowercase hex digits) and component_id, the smallest id reachable.
 
@@ -185,21 +194,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are there. A null id is never the smallest unless its whole component has none. An empty table gives an empty table.
     """
     plain = docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
-    marked = stored(fingerprints(plain).select("id", "fp"), "fingerprints")
-    nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
-    stars = star_forest(near_links(nodes.select("fp")))
-    rooted = nodes.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = stored(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "roots")
-    labels = stored(rooted.join(least, "root").select("fp", "component_id"), "labels")
-    return marked.join(labels, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    marked = stored(fingerprints(plain, words=words).select("id", "fp"), "fingerprints")
+    return marked.join(_labelled(marked).drop("root"), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """docs with one row of each component: that with the smallest id. Of rows that repeat this id one stays (that with the smallest
-    text, nulls first); rows without an id have no say in which stays and all stay."""
-    kept, nth = fresh(docs, "kept", "nth")
-    classes = near_duplicates(docs, id_col, text_col, words)
-    heads = stored(classes.where(col(id_col) == F.col("component_id")).select(F.col("component_id").alias(kept)).distinct(), "heads")
-    stay = docs.join(heads, col(id_col) == F.col(kept), "left_semi")
-    one = stay.withColumn(nth, F.row_number().over(Window.partitionBy(col(id_col)).orderBy(col(text_col)))).where(F.col(nth) == 1).drop(nth)
-    return one.unionByName(docs.where(col(id_col).isNull()))
+    """docs with one row of each component: that with the smallest id, and of several that have it the one whose text has the smallest
+    hash; of rows equal in id and text one stays. Where rows repeat an id with unlike texts, each component keeps its own. Rows without
+    an id have no say in which stays and all stay. Null and wordless texts are one component. An empty table gives an empty table.
+
+    Which rows stay is found from ids and hashes, and looked up by them; texts move again only where rows repeat.
+    """
+    head, text_hash, times, nth = fresh(docs, "head", "text_hash", "times", "nth")
+    plain = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    marked = stored(fingerprints(plain, words=words).select("id", "text_hash", "fp"), "fingerprints")
+    own = marked.join(_labelled(marked), "fp").where(F.col("id") == F.col("component_id"))
+    heads = own.groupBy("root", "id").agg(F.min("text_hash").alias("least"), F.count("*").alias("n"))
+    heads = heads.select(F.col("id").alias(head), F.col("least").alias(text_hash), (F.col("n") > 1).alias(times))
+    heads = stored(heads.groupBy(head, text_hash).agg(F.max(times).alias(times)), "heads")
+    keyed = docs.join(heads, (col(id_col) == F.col(head)) & (F.xxhash64(col(text_col).cast("string")) == F.col(text_hash)))
+    alone = keyed.where(~F.col(times))
+    by = Window.partitionBy(head, text_hash).orderBy(*[col(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    first = keyed.where(F.col(times)).withColumn(nth, F.row_number().over(by)).where(F.col(nth) == 1)
+    columns = [col(c) for c in docs.columns]
+    return alone.select(*columns).unionByName(first.select(*columns)).unionByName(docs.where(col(id_col).isNull()))

@@ -55,6 +55,17 @@ def test_odd_rows(odd, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_each_component_keeps_a_row(spark):
+    """Rows that repeat an id with unlike texts are in components of their own."""
+    a, b, c = "one two three four five", "six seven eight nine ten", "eleven twelve thirteen fourteen fifteen"
+    rows = [(5, a), (5, b), (5, b), (3, b), (7, a), (9, c), (9, c), (9, a), (None, c), (None, None), (2, None)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, a), (3, b), (9, c), (None, c), (None, None), (2, None)], key=str)
+    rows = [(5, a), (5, b), (5, c)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == sorted(rows)
+
+
 def test_masks_leave_no_pair_out():
     rng = np.random.default_rng(1)
     masks = simhash.block_masks((1 << 64) - 1)
