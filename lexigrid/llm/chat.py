@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _tokens  # noqa: F401  (before tokenizers, whose threads it turns off)
-from ._base import col
+from ._base import col, fresh
 
 from tokenizers import AddedToken, Tokenizer  # noqa: E402, I001
 
@@ -97,7 +97,7 @@ def _formatter(path: str):
         key, turns, started, done, size = None, [], False, [], 0
         for batch in batches:
             for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if not started or conv != key:
+                if not started or conv is None or conv != key:
                     if started:
                         done.append((key, turns))
                         if size > 1 << 20:
@@ -118,12 +118,15 @@ def format_conversations(turns: DataFrame, tokenizer: str, conv_col: str = "conv
     """A row for each conversation: conv_id, n_turns, formatted (text), ids (little-endian unsigned 32-bit), mask (a byte a token, 1 for
     loss), offsets (two little-endian unsigned 32-bit code-point offsets a token).
 
-    Turns are in order of turn (nulls first), those that repeat one by role and text. Null roles and texts are empty. Rows with a null
-    conversation are one conversation. Only the role "assistant", in just this spelling, is under the mask. No rows: no conversations.
-    Conversations are dealt by their id, and a task holds one conversation and about a million code points of others at a time.
+    Turns are in order of turn (nulls first), those that repeat one by role and text. Null roles and texts are empty. A row that names no
+    conversation is one of its own. Ids must be integers. Only the role "assistant", in just this spelling, is under the mask. No rows:
+    no conversations. Control strings of the tokenizer itself that stand in a text are ordinary text. Conversations are dealt by their id,
+    rows without one by their texts; a task holds one conversation, which has to fit in a row of the result, and about a million code
+    points of others at a time.
     """
     plain = turns.select(col(conv_col).cast("bigint").alias("conv"), col(role_col).cast("string").alias("role"), col(text_col).cast("string").alias("text"), col(turn_col).alias("turn"))
-    ordered = plain.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
+    alone = F.when(F.col("conv").isNull(), F.xxhash64("turn", "role", "text"))
+    ordered = plain.withColumn("alone", alone).repartition("conv", "alone").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "role", "text")
     return ordered.mapInArrow(_formatter(tokenizer), "conv_id bigint, n_turns bigint, formatted string, ids binary, mask binary, offsets binary")
 
 
@@ -146,5 +149,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
         return pa.array([{"turns": t, "loss_text": x} for t, x in zip(turns, losses, strict=True)], kind)
 
     kind = T.StructType().add("turns", T.ArrayType(T.StructType().add("role", "string").add("text", "string"))).add("loss_text", "string")
-    done = formatted.withColumn("_lx_read", F.arrow_udf(read, kind)("formatted", "mask", "offsets"))
-    return done.select(*[col(c) for c in formatted.columns], "_lx_read.turns", "_lx_read.loss_text")
+    (out,) = fresh(formatted, "read")
+    done = formatted.withColumn(out, F.arrow_udf(read, kind)("formatted", "mask", "offsets"))
+    return done.select(*[col(c) for c in formatted.columns], F.col(out)["turns"].alias("turns"), F.col(out)["loss_text"].alias("loss_text"))

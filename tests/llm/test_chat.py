@@ -38,6 +38,9 @@ def test_conversations(spark):
     groups = {}
     for r in sorted(rows, key=lambda r: (first(r[1])[0], r[1] or 0, first(r[2])[0], (r[2] or "").encode(), first(r[3])[0], (r[3] or "").encode())):
         groups.setdefault(r[0], []).append((r[2] or "", r[3] or ""))
+    alone = groups.pop(None)  # rows that name no conversation
+    assert sorted([(t["role"], t["text"]) for t in r.turns] for r in out if r.conv_id is None) == sorted([t] for t in alone)
+    out = [r for r in out if r.conv_id is not None]
     assert {r.conv_id for r in out} == groups.keys() and len(out) == len(groups)
     for r in out:
         want = groups[r.conv_id]
