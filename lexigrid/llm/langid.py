@@ -3,7 +3,8 @@
 Grams of 1 to 3 code points of the lower-cased text go to BUCKETS hash buckets. Document frequencies are counted over all rows to learn
 from. The weights are learned by follow-the-regularised-leader with elastic-net penalties (McMahan et al., 2013) on about PER_LANGUAGE
 rows of each language, chosen by a hash, in one task; a fifth of them only fits the temperature that calibrates the probabilities.
-What one task or the driver holds is bounded by BUCKETS, PER_LANGUAGE and the number of languages.
+The LANGUAGES most frequent values of the language column are learned, ties in code-point order; rarer ones are taken for noise and
+their rows are predicted like any other. What one task or the driver holds is bounded by BUCKETS, PER_LANGUAGE and LANGUAGES.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ BUCKETS = 1 << 15
 GRAMS = (1, 2, 3)
 #: The sample's bound: the expected number of rows of each language that the weights and the temperature are fitted to.
 PER_LANGUAGE = 800
+#: The languages that are learned, at most: weights are BUCKETS + 1 numbers a language.
+LANGUAGES = 256
 PASSES = 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-3, 1e-3
 SEED = 42
@@ -131,8 +134,9 @@ class Model:
         return out, score
 
 
-def fit(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, seed: int = SEED) -> Model:
-    """The model from the rows for which learn_from holds, with a language and a text that has a letter. No such rows: no languages."""
+def fit(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, seed: int = SEED, max_languages: int = LANGUAGES) -> Model:
+    """The model from the rows for which learn_from holds, with a language and a text that has a letter. No such rows: no languages.
+    Rows that repeat are learned from as often. Other columns, whatever their names, are not looked at."""
     rows = docs.where(F.coalesce(learn_from, F.lit(False)) & col(lang_col).isNotNull()).select(col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text"), F.xxhash64(F.lit(seed), col(id_col)).alias("h"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,13 +151,14 @@ def fit(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: s
         yield pa.RecordBatch.from_arrays([pa.array([None] * len(some), pa.string()), pa.array(some), pa.array(df[some])], names=["lang", "bucket", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(list(langs), pa.string()), pa.array([-1] * len(langs), pa.int64()), pa.array(list(langs.values()), pa.int64())], names=["lang", "bucket", "n"])
 
-    counted = rows.select("lang", "text").mapInArrow(giving_back(frequencies), "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS and a row a language
-    n_lang = {r["lang"]: r["n"] for r in counted if r["lang"] is not None}
-    languages, total = sorted(n_lang), sum(n_lang.values())
+    counted = rows.select("lang", "text").mapInArrow(giving_back(frequencies), "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = stored(counted, "frequencies")
+    by_lang, by_bucket = counted.where(F.col("lang").isNotNull()), counted.where(F.col("lang").isNull())
+    n_lang = {r["lang"]: r["n"] for r in by_lang.orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    languages, total = sorted(n_lang), by_lang.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     idf = np.full(BUCKETS, np.log(1 + total) + 1)
-    for r in counted:
-        if r["lang"] is None:
-            idf[r["bucket"]] = np.log((1 + total) / (1 + r["n"])) + 1
+    for r in by_bucket.collect():  # at most BUCKETS
+        idf[r["bucket"]] = np.log((1 + total) / (1 + r["n"])) + 1
     if not languages:
         return Model([], idf, np.zeros((BUCKETS + 1, 0)), 1.0)
     number = {lang: k for k, lang in enumerate(languages)}

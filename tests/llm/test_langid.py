@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -59,3 +61,44 @@ def test_temperature_calibrates():
     p = langid._softmax(logits)
     y = np.array([rng.choice(3, p=q) for q in p])
     assert abs(langid.temperature(logits * 4, y) - 4) < 0.4
+
+
+def test_learning_against_slow_ftrl():
+    """Every weight, step by step, with dictionaries and no vectors."""
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(3)), np.sort(rng.choice(30, 4, replace=False)), rng.random(4).astype("f4")) for _ in range(60)]
+    z, n = {}, {}
+
+    def weight(i, c):
+        zi = z.get((i, c), 0.0)
+        if abs(zi) <= langid.L1:
+            return 0.0
+        return -(zi - math.copysign(langid.L1, zi)) / ((langid.BETA + math.sqrt(n.get((i, c), 0.0))) / langid.ALPHA + langid.L2)
+
+    for _ in range(langid.PASSES):
+        for y, buckets, values in rows:
+            x = [*zip(buckets.tolist(), values.tolist(), strict=True), (langid.BUCKETS, 1.0)]
+            w = {(i, c): weight(i, c) for i, _ in x for c in range(3)}
+            e = [math.exp(sum(v * w[i, c] for i, v in x)) for c in range(3)]
+            for i, v in x:
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    old = n.get((i, c), 0.0)
+                    n[i, c] = old + g * g
+                    z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(n[i, c]) - math.sqrt(old)) / langid.ALPHA * w[i, c]
+    got = langid.learn(rows, 3)
+    want = np.zeros_like(got)
+    for i, c in z:
+        want[i, c] = weight(i, c)
+    assert np.abs(got - want).max() < 1e-5 and (got != 0).any()
+
+
+def test_document_frequencies_and_rare_languages(spark, small):
+    rows = [r for r in small.collect() if r.lang is not None and langid.has_letter(r.text)]
+    model = langid.fit(small, F.lit(True), max_languages=2)
+    n = {lang: sum(r.lang == lang for r in rows) for lang in {r.lang for r in rows}}
+    assert model.languages == sorted(sorted(n, key=lambda x: (-n[x], x))[:2])
+    df = np.zeros(langid.BUCKETS)
+    for buckets, _ in langid.gram_counts([r.text for r in rows]):
+        df[buckets] += 1
+    assert np.allclose(model.idf, np.log((1 + len(rows)) / (1 + df)) + 1)
