@@ -4,6 +4,10 @@ A text is cut only where no token of its tokenizer can span: before white space
 Latin letter and ASCII punctuation. The pre-tokenizers known here never match across either, and what they match depends on nothing before
 its start, so the ids of the stretches, joined, are the ids of the whole text (the tests compare them). A tokenizer of another make
 encodes whole texts.
+
+Control strings of a tokenizer (such as the string of its end id) are ordinary text where a text holds them: encode_special_tokens is
+set, as the vocabulary files' own description has it. With the library's default they would become control ids, and a document could end
+another.
 """
 
 from __future__ import annotations

@@ -26,6 +26,8 @@ from ._base import col, fresh, giving_back, stored
 from ._tokens import REMEMBERED, encoder
 
 MAX_TOKENS = 4096
+#: The columns that pack() adds.
+ADDED = ("sequence_id", "offset", "sequence_length", "padded_length")
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int = MAX_TOKENS) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -68,21 +70,22 @@ class Layout:
         for packs, runs in sorted(groups, key=lambda g: g[1]):
             offset = 0
             for length, copies in runs:
-                rows.append((length, used[length], base, offset, copies))
+                rows.append((length, used[length], base, offset, copies, sum(n * c for n, c in runs)))
                 used[length] += packs * copies
                 offset += length * copies
             base += packs
         self.sequences = base
-        table = np.array(sorted(rows), "i8").reshape(-1, 5)
-        self.length, self.first, self.base, self.offset, self.copies = table.T.copy()
+        table = np.array(sorted(rows), "i8").reshape(-1, 6)
+        self.length, self.first, self.base, self.offset, self.copies, self.total = table.T.copy()
         self.lengths, self.begin = np.unique(self.length, return_index=True)
         self.shift = np.cumsum([0, *[used[int(n)] for n in self.lengths]])  # ranks of all lengths on one line
         self.line = self.first + self.shift[np.searchsorted(self.lengths, self.length)]
 
-    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sequence, offset in it, and the sequence's length."""
         at = np.searchsorted(self.line, rank + self.shift[np.searchsorted(self.lengths, length)], "right") - 1
         nth = rank - self.first[at]
-        return self.base[at] + nth // self.copies[at], self.offset[at] + nth % self.copies[at] * length
+        return self.base[at] + nth // self.copies[at], self.offset[at] + nth % self.copies[at] * length, self.total[at]
 
 
 def _numberer(names: list[str]):
@@ -104,39 +107,46 @@ def _numberer(names: list[str]):
 
 
 def pack(pieces: DataFrame, length_col: str = "length", order_by: tuple[str, ...] = ("doc_id", "start"), capacity: int = MAX_TOKENS) -> DataFrame:
-    """pieces with sequence_id and offset (from 0, gapless within a sequence). Rows that agree in order_by are interchangeable.
+    """pieces with sequence_id, offset (from 0, gapless within a sequence), sequence_length (its ids) and padded_length (with padding:
+    capacity, except that a sequence whose length is a power of two is not padded).
 
-    Lengths must be in 1..capacity; a null or other length raises. An empty table gives an empty table. Input columns named
-    sequence_id or offset are replaced; other columns are carried along.
+    Rows that agree in order_by, nulls among them, are interchangeable. Lengths must be in 1..capacity; a null or other length raises. An
+    empty table gives an empty table. Input columns of the names added are replaced; other columns are carried along, whatever their names.
+
+    pieces are stored once, with a number for each row. Only a row's number, length and order are ranked; the rows themselves move once, to
+    meet their places, or not at all where the places are few enough to broadcast.
     """
-    pieces = pieces.select(*[col(c) for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
-    names = dict(zip(pieces.columns, (f"c{k}" for k in range(len(pieces.columns))), strict=True))  # Arrow functions take no dots
-    pieces, length_col, order_by = pieces.toDF(*names.values()), names[length_col], [names[c] for c in order_by]
-    h, size, part, nth, base, out = fresh(pieces, "hash", "size", "part", "nth", "base", "place")
+    pieces = pieces.select(*[col(c) for c in pieces.columns if c.lower() not in ADDED])
+    row, size, out = fresh(pieces, "row", "size", "place")
+    pieces = stored(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
     counts = pieces.groupBy(col(length_col).cast("bigint").alias("length")).count().limit(capacity + 2).collect()
     if any(r["length"] is None or not 0 < r["length"] <= capacity for r in counts):
         raise ValueError(f"a piece's length must be in 1..{capacity}")
     layout = Layout(shortest_pack_first({r["length"]: r["count"] for r in counts}, capacity))
-    keys = [h, *(c for c in order_by)]
-    sized = pieces.withColumn(h, F.xxhash64(*[col(c) for c in order_by])).withColumn(size, col(length_col).cast("bigint"))
-    schema = T.StructType([*sized.schema.fields, T.StructField(part, T.LongType()), T.StructField(nth, T.LongType())])
-    numbered = sized.repartitionByRange(col(size), *[col(c) for c in keys]).sortWithinPartitions(col(size), *[col(c) for c in keys])
-    numbered = stored(numbered.mapInArrow(giving_back(_numberer(schema.names)), schema), "numbered")
-    sums = numbered.groupBy(size, part).agg((F.max(nth) + 1).alias(base))
-    before = F.sum(base).over(Window.partitionBy(size).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
-    bases = stored(sums.select(size, part, F.coalesce(before, F.lit(0)).alias(base)), "bases")
-
-    @F.arrow_udf("struct<sequence_id: bigint, offset: bigint>")
+    keys = dict(zip((f"_lx_key_{k}" for k in range(len(order_by))), map(col, order_by), strict=True))  # Arrow functions take no dots
+    sized = pieces.select(F.col(row).alias("row"), *[c.alias(k) for k, c in keys.items()], F.xxhash64(*keys.values()).alias("h"), col(length_col).cast("bigint").alias("size"))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("row", "size", "part", "nth")])
+    ranged = sized.repartitionByRange("size", "h", *keys).sortWithinPartitions("size", "h", *keys).select("row", "size")
+    numbered = stored(ranged.mapInArrow(giving_back(_numberer(schema.names)), schema), "numbered")
+    sums = numbered.groupBy("size", "part").agg((F.max("nth") + 1).alias("base"))
+    before = F.sum("base").over(Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = stored(sums.select("size", "part", F.coalesce(before, F.lit(0)).alias("base")), "bases")
+
+    @F.arrow_udf("struct<sequence_id: bigint, offset: bigint, sequence_length: bigint>")
     def place(length: pa.Array, rank: pa.Array) -> pa.Array:
-        return pa.StructArray.from_arrays([pa.array(x) for x in layout.place(length.to_numpy(), rank.to_numpy())], names=["sequence_id", "offset"])
+        return pa.StructArray.from_arrays([pa.array(x) for x in layout.place(length.to_numpy(), rank.to_numpy())], names=["sequence_id", "offset", "sequence_length"])
 
-    done = numbered.join(bases, [size, part]).withColumn(out, place(F.col(size), F.col(nth) + F.col(base)))
-    return done.select(*[F.col(new).alias(c) for c, new in names.items()], F.col(out)["sequence_id"].alias("sequence_id"), F.col(out)["offset"].alias("offset"))
+    places = numbered.join(bases, ["size", "part"]).select(F.col("row").alias(size), place(F.col("size"), F.col("nth") + F.col("base")).alias(out))
+    done = pieces.join(stored(places, "places"), F.col(row) == F.col(size))
+    whole = F.col(out)["sequence_length"]
+    padded = F.when(whole.bitwiseAND(whole - 1) == 0, whole).otherwise(F.lit(capacity))
+    return done.select(*[col(c) for c in pieces.columns if c != row], *[F.col(out)[c].alias(c) for c in ADDED[:3]], padded.cast("bigint").alias(ADDED[3]))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", capacity: int = MAX_TOKENS, remembered: int = REMEMBERED, narrow: bool = False) -> DataFrame:
     """Whole texts encoded, end_id appended, cut into pieces of capacity ids and a rest: id_col, start, length, ids (binary,
-    little-endian unsigned 32-bit), doc_tokens. A null text is an empty one. A document without any id (no end_id) has no piece.
+    little-endian unsigned 32-bit), doc_tokens. A null text is an empty one. A document without any id (no end_id) has no piece. Control
+    strings of the tokenizer that stand in a text are ordinary text. Rows that repeat an id are documents of their own.
     remembered: stretches that a worker keeps encoded, memory against time. narrow: two bytes an id if the whole vocabulary and end_id fit."""
     plain = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
 
@@ -164,10 +174,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: st
     return plain.mapInArrow(giving_back(cut), schema).withColumnRenamed("id", id_col)
 
 
-def packed_sequences(placed: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """The sequences themselves: sequence_id, ids (binary), lengths (of the pieces, in order, for attention masks). A sequence has at
-    most capacity ids, so no group is large."""
+def packed_sequences(placed: DataFrame, ids_col: str = "ids", pad_id: int | None = None, width: int = 4) -> DataFrame:
+    """The sequences themselves: sequence_id, ids (binary), lengths (of the pieces, in order, for attention masks). With pad_id, ids are
+    filled up to padded_length with it, in width bytes, little-endian. A sequence has at most capacity ids, so no group is large."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "length", col(ids_col).alias("ids"))))
-    rows = placed.groupBy("sequence_id").agg(parts.alias("parts"))
+    rows = placed.groupBy("sequence_id").agg(parts.alias("parts"), F.max(F.col("padded_length") - F.col("sequence_length")).alias("missing"))
     joined = F.aggregate(F.col("parts"), F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["ids"]))
+    if pad_id is not None:
+        joined = F.concat(joined, F.unhex(F.repeat(F.lit(pad_id.to_bytes(width, "little").hex()), F.col("missing").cast("int"))))
     return rows.select("sequence_id", joined.alias("ids"), F.transform("parts", lambda p: p["length"]).alias("lengths"))

@@ -112,8 +112,7 @@ FROM e GROUP BY conv_id, alone
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    digests = stored(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces")
-    return pack(digests)
+    return pack(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

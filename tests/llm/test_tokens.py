@@ -61,6 +61,9 @@ def check_packed(rows, capacity=4096):
             assert offset == at
             at += length
         assert at <= capacity
+    for r in rows:
+        n = sum(length for _, length in sequences[r.sequence_id])
+        assert r.sequence_length == n and r.padded_length == (n if n.bit_count() == 1 else capacity)
     assert sorted(sequences) == list(range(len(sequences)))
     return sequences
 
@@ -108,7 +111,7 @@ def test_histograms():
             assert placed == histogram
             layout, seen = packing.Layout(groups), set()
             for n, count in histogram.items():
-                seqs, offsets = layout.place(np.full(count, n), np.arange(count))
+                seqs, offsets, _ = layout.place(np.full(count, n), np.arange(count))
                 seen |= {(s, o + k) for s, o in zip(seqs.tolist(), offsets.tolist(), strict=True) for k in range(n)}
             assert len(seen) == sum(n * c for n, c in histogram.items()) and max(s for s, _ in seen) == layout.sequences - 1
     with pytest.raises(ValueError, match="not in 1..4"):
@@ -119,6 +122,6 @@ def test_a_hot_length_and_extra_columns(spark):
     rows = [(k % 3, 5 if k % 3 else 1 + k % 9, 0, 7, "x") for k in range(300)]
     pieces = spark.createDataFrame(rows, "doc_id long, length int, start long, part long, sequence_id string").repartition(6)
     packed = packing.pack(pieces, capacity=16)
-    assert packed.columns == ["doc_id", "length", "start", "part", "sequence_id", "offset"]
+    assert packed.columns == ["doc_id", "length", "start", "part", "sequence_id", "offset", "sequence_length", "padded_length"]
     check_packed(packed.collect(), 16)
     assert zlib.crc32(b"") == 0
