@@ -19,11 +19,14 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor and the driver see; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir, which every executor and the driver see. Where it is unset, a session whose executors are on
+    this machine gets a temporary one; on a cluster, whose executors would not see it, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context_dir = spark.sparkContext.getCheckpointDir()
         if context_dir is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context_dir = tempfile.mkdtemp(prefix="lexigrid-")
             spark.sparkContext.setCheckpointDir(context_dir)
         found = context_dir
