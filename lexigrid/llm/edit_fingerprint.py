@@ -43,6 +43,8 @@ BUCKET = 8192
 SMALL = 8
 #: Code points of a text that are looked at together; and of each text when many are walked side by side, which FEW are not.
 STRETCH, STRIP, FEW = 1 << 16, 256, 32
+#: Rows of a part of the order of all documents, about, and parts at most.
+ROWS_PER_PART, MOST_PARTS = 256, 1 << 16
 #: Bytes of the texts that a worker walks side by side, about.
 TOGETHER = 16 << 20
 #: Random steps before the table repeats, and the characters' classes, the last of which stands for the end of a text.
@@ -356,10 +358,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(pairs: list[tuple[tuple, tuple]]) -> pa.RecordBatch:
         out = []
         for (a, b), walk in zip(pairs, _edited_walks([(a[4], b[4]) for a, b in pairs]), strict=True):
-            fp, digest = walk.fingerprint(), hashlib.sha256(edited(a[3], b[3]).encode("utf-8", "surrogatepass")).hexdigest()
-            out.append((a[2], len(a[3]), digest, a[5].hex(), fp.hex(), likeness(a[5], fp), likeness(a[5], b[5])))
+            fp, digest = walk.fingerprint(), hashlib.sha256(edited(a[3], b[3]).encode("utf-8", "surrogatepass")).digest()
+            out.append((a[2], len(a[3]), digest, a[5], fp, likeness(a[5], fp), likeness(a[5], b[5])))
         columns = list(zip(*out, strict=True)) or [()] * len(names)
-        kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
+        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3, *[pa.float64()] * 2]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     first = before = None
@@ -381,15 +383,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows([(before, first)])
 
 
-def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_part: int = 256, most_parts: int = 1 << 16) -> DataFrame:
-    """For each document: doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (hex), near_edited, near_next; the edited
-    text takes the place of its last third from the next document, in descending order of id (after the last: the first).
-
-    The order is by id, then by a hash of the text, then by the text; ids must be integers, null ids come last. Some places in it, chosen
-    by a hash of id and text, at most about most_parts, cut it into parts, so an id that many rows repeat is many parts too; a row that
-    begins a part also ends the one before it. Whole texts move once, and no order of all rows is needed. Rows that are equal in id and
-    text stream through one task. A null text is empty. A single document is its own next. An empty table gives an empty table.
-    """
+def _compared(docs: DataFrame, id_col: str, text_col: str, rows_per_part: int, most_parts: int) -> DataFrame:
+    """edit_likeness with the digest and the fingerprints as binary, which is half as long where they move."""
     plain = docs.select(col(id_col).cast("bigint").alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     every = max(rows_per_part, -(-docs.count() // most_parts))
     place = F.struct(F.col("id").isNull().alias("none"), F.coalesce(F.bitwise_not("id"), F.lit(0).cast("bigint")).alias("down"), "h")
@@ -412,7 +407,23 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     dealt = plain.select("id", "text", "h").mapInArrow(deal, "part bigint, tail boolean, id bigint, text string, h bigint")
     ordered = dealt.repartition("part").sortWithinPartitions("part", "tail", F.desc_nulls_last("id"), "h", "text").drop("h")
-    return ordered.mapInArrow(giving_back(_compare), "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.mapInArrow(giving_back(_compare), "doc_id bigint, n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
+
+
+def _in_hex(rows: DataFrame) -> DataFrame:
+    return rows.select(*[F.lower(F.hex(c)).alias(c) if kind == "binary" else F.col(c) for c, kind in rows.dtypes])
+
+
+def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_part: int = ROWS_PER_PART, most_parts: int = MOST_PARTS) -> DataFrame:
+    """For each document: doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint (hex), near_edited, near_next; the edited
+    text takes the place of its last third from the next document, in descending order of id (after the last: the first).
+
+    The order is by id, then by a hash of the text, then by the text; ids must be integers, null ids come last. Some places in it, chosen
+    by a hash of id and text, at most about most_parts, cut it into parts, so an id that many rows repeat is many parts too; a row that
+    begins a part also ends the one before it. Whole texts move once, and no order of all rows is needed. Rows that are equal in id and
+    text stream through one task. A null text is empty. A single document is its own next. An empty table gives an empty table.
+    """
+    return _in_hex(_compared(docs, id_col, text_col, rows_per_part, most_parts))
 
 
 def fingerprints_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: float = LIKE) -> DataFrame:
@@ -420,5 +431,5 @@ def fingerprints_and_classes(docs: DataFrame, id_col: str = "doc_id", text_col:
     classes = classes_of(fingerprint(docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).alias("text")), "id", "text"), like)
     # a fingerprint of one row that leads its component needs no looking up
     told = stored(classes.where((F.col("n") > 1) | ~F.col("component_id").eqNullSafe(F.col("low"))).select("fp", "component_id"), "edit-told")
-    rows = edit_likeness(docs, id_col, text_col).join(told, F.unhex("fingerprint") == F.col("fp"), "left")
-    return rows.withColumn("component_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).drop("fp")
+    rows = _compared(docs, id_col, text_col, ROWS_PER_PART, MOST_PARTS).join(told, F.col("fingerprint") == F.col("fp"), "left")
+    return _in_hex(rows.withColumn("component_id", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).drop("fp"))
