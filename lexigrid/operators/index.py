@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..session import small
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unicode: bool = False) -> DataFrame:
     return docs.select(F.col(id_col).alias("docno"), tokenize(F.col(text_col), unicode).alias("tokens"))
 
 
-def postings(tokens: DataFrame, terms: DataFrame | None = None, with_length: bool = False) -> DataFrame:
-    """(term, docno, tf), and the document's length with_length, which spares a later join by document. With terms (term), only theirs:
-    then words are thrown away before the shuffle, and what moves is a row for each matching document and term. Counts are summed on the
-    map side, so a word that is everywhere moves once a task and document."""
-    own = ["docno", F.size("tokens").cast("bigint").alias("length")] if with_length else ["docno"]
-    rows = tokens.select(*own, F.explode("tokens").alias("term"))
+def postings(tokens: DataFrame) -> DataFrame:
+    """(term, docno, tf). Counts are summed on the map side, so a word that is everywhere moves once a task and document."""
+    return tokens.select("docno", F.explode("tokens").alias("term")).groupBy("term", "docno").agg(F.count("*").alias("tf"))
+
+
+def postings_by_document(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf), doc a struct of docno and the document's length. A document's rows are in one partition, so later sums by document
+    need no other shuffle. With terms (term), only theirs: then words are thrown away before the one shuffle there is."""
+    doc = F.struct("docno", F.size("tokens").cast("bigint").alias("length")).alias("doc")
+    rows = tokens.select(doc, F.explode("tokens").alias("term"))
     if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy("term", "docno", *(["length"] if with_length else [])).agg(F.count("*").alias("tf"))
+        rows = rows.join(small(terms.select("term").distinct()), "term", "left_semi")
+    return rows.repartition("doc").groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
 def term_statistics(index: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize as words
 from ..operators import evaluation, index, ranking, retrieval
+from ..session import spread
 from ..sources import collections
 
 DEPTH = 1000
@@ -18,7 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +149,9 @@ _BM25 = f"""{_INDEX}, {_TERMS},
 stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM tok),
 dfs AS (SELECT term, count(*) AS df FROM idx GROUP BY term),
 scored AS (
-  SELECT qid, idx.docno, round(CAST(sum(CAST(
+  SELECT qid, idx.docno, round(CAST(sum(CAST(floor(
     ln(1 + (n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE))) * tf * CAST(2.2 AS DOUBLE)
-    / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len(tokens) / avgdl)) AS DECIMAL(28, 12))) AS DOUBLE), 6) AS score
+    / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * len(tokens) / avgdl)) * CAST(1e12 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS DOUBLE) / CAST(1e12 AS DOUBLE), 6) AS score
   FROM idx JOIN asked USING (term) JOIN dfs USING (term) JOIN tok ON tok.docno = idx.docno CROSS JOIN stats GROUP BY qid, idx.docno),
 run AS ({_RANKED})"""
 RETRIEVE_BM25 = f"WITH {_BM25} SELECT * FROM run"
@@ -161,12 +162,14 @@ def retrieve_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RETRIEVE_TFIDF = f"""WITH {_INDEX}, {_TERMS},
+lengths AS (SELECT docno, CAST(len(tokens) AS BIGINT) AS n FROM tok),
+words AS (SELECT qid, CAST(sum(qtf) AS BIGINT) AS n FROM asked GROUP BY qid),
 idf AS (SELECT term, ln(CAST((SELECT count(*) FROM tok) AS DOUBLE) / count(*)) AS idf FROM idx GROUP BY term),
-w AS (SELECT term, docno, tf * idf AS w FROM idx JOIN idf USING (term)),
-norms AS (SELECT docno, sqrt(CAST(sum(CAST(w * w AS DECIMAL(28, 12))) AS DOUBLE)) AS norm FROM w GROUP BY docno),
-qw AS (SELECT qid, term, qtf * idf AS qw FROM asked JOIN idf USING (term)),
-qnorms AS (SELECT qid, sqrt(CAST(sum(CAST(qw * qw AS DECIMAL(28, 12))) AS DOUBLE)) AS qnorm FROM qw GROUP BY qid),
-dots AS (SELECT qid, docno, CAST(sum(CAST(w * qw AS DECIMAL(28, 12))) AS DOUBLE) AS dot FROM w JOIN qw USING (term) GROUP BY qid, docno),
+w AS (SELECT term, docno, tf * idf / n AS w FROM idx JOIN idf USING (term) JOIN lengths USING (docno)),
+norms AS (SELECT docno, sqrt(CAST(sum(CAST(floor(w * w * CAST(1e15 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS DOUBLE) / CAST(1e15 AS DOUBLE)) AS norm FROM w GROUP BY docno),
+qw AS (SELECT qid, term, qtf * idf / n AS qw FROM asked JOIN idf USING (term) JOIN words USING (qid)),
+qnorms AS (SELECT qid, sqrt(CAST(sum(CAST(floor(qw * qw * CAST(1e15 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS DOUBLE) / CAST(1e15 AS DOUBLE)) AS qnorm FROM qw GROUP BY qid),
+dots AS (SELECT qid, docno, CAST(sum(CAST(floor(w * qw * CAST(1e15 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS DOUBLE) / CAST(1e15 AS DOUBLE) AS dot FROM w JOIN qw USING (term) GROUP BY qid, docno),
 scored AS (SELECT qid, docno, round(dot / norm / qnorm, 6) AS score FROM dots JOIN norms USING (docno) JOIN qnorms USING (qid) WHERE norm > 0 AND qnorm > 0)
 {_RANKED}"""
 

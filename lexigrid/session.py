@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows that are broadcast at most where a table is counted for it.
+BROADCAST_ROWS = 1_000_000
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -17,3 +22,24 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
         "spark.ui.enabled": "false",
     }
     return builder.config(map={**defaults, **settings}).getOrCreate()
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table of one file dealt over all cores: such a file is often one row group, which one task reads, and that task would then do
+    all the work that needs no shuffle. A table of several files stays as it is."""
+    if len(table.inputFiles()) > 1:
+        return table
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism)
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """The table, computed now and kept on the executors (in memory, else on their disks) for what reads it several times; a lost executor's
+    share is computed again. The planner knows its size from then on, so joins broadcast it only if it is small."""
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)
+    table.count()
+    return table
+
+
+def small(table: DataFrame) -> DataFrame:
+    """To be broadcast, if it has no more than BROADCAST_ROWS rows; else as it is, and joins shuffle."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
