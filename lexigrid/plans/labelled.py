@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import BASIC_TOKEN, CONTROLS, tokenize
 from ..operators import encoding, selection
+from ..session import spread
 from ..sources.collections import read_labelled
 
 KEPT = 1000
@@ -56,19 +57,30 @@ def permutation_take(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.permutation_take(data, "doc_id", KEPT)
 
 
+_BASE = encoding.base_tokens()
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2,000 most frequent words, ties in code-point order, which the vocabulary takes; a top-k report."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    own = encoding.build_vocabulary(docs, size=2000 + 76)
-    return spark.createDataFrame([(k, w) for k, w in enumerate(own)], "id int, token string").where("id >= 76")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    own = encoding.build_vocabulary(docs, size=2000 + len(_BASE))
+    return spark.createDataFrame([(k, w) for k, w in enumerate(own)], "id int, token string").where(F.col("id") >= len(_BASE))
+
+
+def _basic(text: str) -> str:
+    return f"regexp_extract_all(strip_accents(lower(regexp_replace(coalesce({text}, ''), '{CONTROLS}', '', 'g'))), '{BASIC_TOKEN}')"
+
+
+def _vocabulary_sql(size: int) -> str:
+    return f"""SELECT CAST({len(_BASE) - 1} + row_number() OVER (ORDER BY count(*) DESC, token) AS INTEGER) AS id, token
+FROM (SELECT unnest({_basic('text')}) AS token FROM documents) WHERE length(token) > 1 GROUP BY token QUALIFY id < {size}"""
 
 
-VOCABULARY = """WITH words AS (SELECT unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS token FROM documents)
-SELECT CAST(75 + row_number() OVER (ORDER BY count(*) DESC, token) AS INTEGER) AS id, token FROM words WHERE length(token) > 1 GROUP BY token QUALIFY id < 2076"""
+VOCABULARY = _vocabulary_sql(2000 + len(_BASE))
 
 
 def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = encoding.build_vocabulary(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    words = encoding.build_vocabulary(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return encoding.encode_batch(_taken(spark, sf_dir).select("position", "label", "text"), words)
 
 
@@ -79,7 +91,32 @@ def encode_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _encoded(spark, sf_dir).select("label", "input_ids", "attention_mask")
+    """The columns that a model takes, arrays written as text."""
+    joined = [F.array_join(c, " ").alias(c) for c in ("input_ids", "attention_mask")]
+    return _encoded(spark, sf_dir).select("label", *joined)
+
+
+_QUOTED = ", ".join("({}, '{}')".format(k, t.replace("'", "''")) for k, t in enumerate(_BASE))
+_ENCODED = f"""WITH RECURSIVE {_DATA},
+keyed AS (SELECT *, CAST('0x' || substr(md5('42:' || doc_id), 1, 15) AS BIGINT) AS k FROM data WHERE split = 'test'),
+taken AS (SELECT CAST(row_number() OVER (ORDER BY k, doc_id) - 1 AS INTEGER) AS position, label, {_basic('text')}[1:510] AS words FROM keyed QUALIFY position < {KEPT}),
+vocab(id, token) AS (SELECT * FROM (VALUES {_QUOTED}) b UNION ALL SELECT * FROM ({_vocabulary_sql(30_000)})),
+found AS (SELECT position, unnest(words) AS w, generate_subscripts(words, 1) AS nth FROM taken),
+known AS (SELECT DISTINCT w FROM found),
+walk(w, done, ids) AS (
+  SELECT w, CAST(0 AS BIGINT), CAST([] AS INTEGER[]) FROM known WHERE length(w) <= {encoding.LONGEST_WORD}
+  UNION ALL
+  SELECT w, done + n, list_append(ids, id) FROM (
+    SELECT c.w, c.done, c.ids, c.n, v.id, row_number() OVER (PARTITION BY c.w ORDER BY c.n DESC) AS best
+    FROM (SELECT w, done, ids, unnest(range(1, length(w) - done + 1)) AS n FROM walk WHERE done < length(w)) c
+    JOIN vocab v ON v.token = CASE WHEN c.done = 0 THEN '' ELSE '##' END || substr(c.w, c.done + 1, c.n)) WHERE best = 1),
+pieces AS (SELECT known.w, coalesce(walk.ids, [1]) AS ids FROM known LEFT JOIN walk ON walk.w = known.w AND walk.done = length(walk.w)),
+joined AS (SELECT position, flatten(list(ids ORDER BY nth)) AS ids FROM found JOIN pieces USING (w) GROUP BY position),
+real AS (SELECT position, label, list_concat(list_concat([2], coalesce(ids, [])[1:510]), [3]) AS ids FROM taken LEFT JOIN joined USING (position))"""
+ENCODE_BATCH = f"""{_ENCODED}
+SELECT position, CAST(len(ids) AS INTEGER) AS n_tokens, CAST(512 AS INTEGER) AS length, md5(array_to_string(list_resize(ids, 512, 0), ' ')) AS ids_md5 FROM real"""
+ENCODE_PROJECT = f"""{_ENCODED}
+SELECT label, array_to_string(list_resize(ids, 512, 0), ' ') AS input_ids, array_to_string(list_resize(list_transform(ids, lambda x: 1), 512, 0), ' ') AS attention_mask FROM real"""
 
 
 def attention_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,5 +146,7 @@ ORACLE_SQL = {
     "shuffle_take": SHUFFLE_TAKE,
     "first_example": FIRST_EXAMPLE,
     "vocabulary": VOCABULARY,
+    "encode_batch": ENCODE_BATCH,
+    "encode_project": ENCODE_PROJECT,
     "attention_mask": ATTENTION_MASK,
 }
