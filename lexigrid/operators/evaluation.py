@@ -40,7 +40,7 @@ def long_form(measures: DataFrame) -> DataFrame:
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, by_query: bool = False, complete: bool = False) -> DataFrame:
-    """(metric, qid, value): the mean over topics has qid 'all'; with by_query each topic's value is there too. See schemas.MEASURES."""
+    """(metric, qid, value): the mean over topics has qid 'all'; with by_query each topic's value is there too."""
     each = long_form(per_query(run, qrels, complete)).withColumn("qid", F.col("qid").cast("string"))
     mean = each.groupBy("metric").agg(F.avg("value").alias("value")).select("metric", F.lit("all").alias("qid"), "value")
     return each.unionByName(mean) if by_query else mean

@@ -35,7 +35,7 @@ def on_white(channel: Column, alpha: Column) -> Column:
 
 def composite_pixels(pixels: DataFrame) -> DataFrame:
     """Pixel rows (b, g, r, a and any keys): the three channels on white, without a."""
-    return pixels.select(*[c for c in pixels.columns if c not in "bgra"], *[on_white(F.col(c), F.col("a")).alias(c) for c in "bgr"])
+    return pixels.select(*[F.col(c) for c in pixels.columns if c not in tuple("bgra")], *[on_white(F.col(c), F.col("a")).alias(c) for c in "bgr"])
 
 
 def flatten_alpha(data: np.ndarray) -> np.ndarray:

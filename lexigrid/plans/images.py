@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import stem_and_extension
 from ..operators import cnn, images
+from ..session import shared_dir
 from ..sources import images as files
 
 FOLDER = "/Dataset"
@@ -85,19 +86,33 @@ def _hex_digest(data: DataFrame) -> DataFrame:
     return data.select("name", "image.nChannels", F.md5("image.data").alias("data_md5"))
 
 
+def _mixed(images: DataFrame) -> DataFrame:
+    """Some of them with three channels or one (the first bytes of the data), some as the image source gives what it cannot decode."""
+    kind = F.substring("name", 2, 100).substr(F.lit(1), F.length("name") - 5).cast("bigint") % 5
+    channels = F.when(kind == 1, 3).when(kind == 2, 1).when(kind == 3, -1).otherwise(4)
+    size = F.when(channels > 0, 4).otherwise(-1)
+    mode = F.when(kind == 1, 16).when(kind == 2, 0).when(kind == 3, -1).otherwise(24)
+    data = F.substring(F.col("image.data"), F.lit(1), F.greatest(channels, F.lit(0)) * 16)
+    return images.withColumn("image", F.struct("image.origin", size.alias("height"), size.alias("width"), channels.alias("nChannels"), mode.alias("mode"), data.alias("data")))
+
+
 def image_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole images through the vectorised function."""
-    return _hex_digest(images.composite_images(_image_rows(spark, sf_dir)))
+    """Whole images through the vectorised function; those without alpha, or that cannot be decoded, come out as they are."""
+    return _hex_digest(images.composite_images(_mixed(_image_rows(spark, sf_dir))))
 
 
 _IMAGE_SQL = """SELECT 'v' || vec_id || '.png' AS name, {n} AS "nChannels", md5(unhex(string_agg({hex}, '' ORDER BY pos))) AS data_md5 FROM ({px}) GROUP BY vec_id"""
-IMAGE_COMPOSITE = _IMAGE_SQL.format(n=3, hex=" || ".join(f"printf('%02x', {c})" for c in "bgr"), px=ALPHA_COMPOSITE)
+_HEX = {n: " || ".join(f"printf('%02x', {c})" for c in "bgra"[:n]) for n in (3, 4)}
+IMAGE_COMPOSITE = f"""WITH {_PIXELS}, white AS ({ALPHA_COMPOSITE}), whole AS (
+  SELECT vec_id, string_agg({_HEX[4]}, '' ORDER BY pos) AS raw FROM px GROUP BY vec_id), put AS (
+  SELECT vec_id, string_agg({_HEX[3]}, '' ORDER BY pos) AS flat FROM white GROUP BY vec_id)
+SELECT 'v' || vec_id || '.png' AS name, CAST([3, 3, 1, -1, 3][CAST(vec_id % 5 AS INTEGER) + 1] AS INTEGER) AS "nChannels",
+  md5(unhex(CASE vec_id % 5 WHEN 1 THEN raw[1:96] WHEN 2 THEN raw[1:32] WHEN 3 THEN '' ELSE flat END)) AS data_md5 FROM whole JOIN put USING (vec_id)"""
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:
     """The images as PNG files in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexigrid-images-")
-    folder = f"{shared.rstrip('/')}/images-{abs(hash((sf_dir, spark.sparkContext.applicationId)))}"
+    folder = f"{shared_dir(spark)}/lexigrid/images-{uuid.uuid4().hex}"
     files.write_images(_image_rows(spark, sf_dir), folder).where("not written").count()
     return folder
 

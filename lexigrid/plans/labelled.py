@@ -44,6 +44,15 @@ SHUFFLE_TAKE = f"""WITH {_DATA}, keyed AS (SELECT *, CAST('0x' || substr(md5('42
 SELECT CAST(row_number() OVER (ORDER BY k, doc_id) - 1 AS INTEGER) AS position, doc_id, label FROM keyed QUALIFY position < {KEPT}"""
 
 
+def shuffle_take_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 100 of the other split, which has more at any size."""
+    data = selection.split_of(_data(spark, sf_dir), "train")
+    return selection.shuffled_take(data, "doc_id", 100).select("position", "doc_id", "label")
+
+
+SHUFFLE_TAKE_TRAIN = SHUFFLE_TAKE.replace("split = 'test'", "split = 'train'").replace(f"position < {KEPT}", "position < 100")
+
+
 def first_example(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_take(spark, sf_dir).orderBy("position").limit(1)
 
@@ -133,6 +142,7 @@ QUERIES = {
     "labelled_scan": labelled_scan,
     "split_select": split_select,
     "shuffle_take": shuffle_take,
+    "shuffle_take_train": shuffle_take_train,
     "first_example": first_example,
     "permutation_take": permutation_take,
     "vocabulary": vocabulary,
@@ -144,6 +154,7 @@ ORACLE_SQL = {
     "labelled_scan": LABELLED_SCAN,
     "split_select": SPLIT_SELECT,
     "shuffle_take": SHUFFLE_TAKE,
+    "shuffle_take_train": SHUFFLE_TAKE_TRAIN,
     "first_example": FIRST_EXAMPLE,
     "vocabulary": VOCABULARY,
     "encode_batch": ENCODE_BATCH,

@@ -3,12 +3,14 @@ is relevant to a passage that it contains. Ids are numbers here, so the descendi
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize as words
 from ..operators import evaluation, index, ranking, retrieval
-from ..session import spread
+from ..session import shared_dir, spread
 from ..sources import collections
 
 DEPTH = 1000
@@ -41,11 +43,30 @@ SELECT CAST(page_id AS VARCHAR) AS docno, lpad(CAST(page_id % 100 AS VARCHAR), 2
   CAST(length(ltrim(html, chr(10))) AS INTEGER) AS body_chars, md5(ltrim(html, chr(10))) AS body_md5 FROM pages"""
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shard = F.lpad((F.col("page_id") % 100).cast("string"), 2, "0")
+    return _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("docno"), shard.alias("shard"), "url", F.col("html").alias("body"))
+
+
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as files in folders, written and read back: the same rows as corpus_scan."""
+    folder = f"{shared_dir(spark)}/lexigrid/corpus-{uuid.uuid4().hex}"
+    collections.write_corpus(_pages(spark, sf_dir), folder).count()
+    return collections.read_corpus(spark, folder).select("docno", "shard", "url", F.length("body").alias("body_chars"), F.md5("body").alias("body_md5"))
+
+
 def topics_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _topics(spark, sf_dir).select(F.concat_ws(" ", "qid", F.regexp_replace("title", "\n", " ")).alias("value"))
     return collections.parse_topics(lines)
 
 
+def topics_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topics as a file, written and read back: the same rows as topics_scan."""
+    path = f"{shared_dir(spark)}/lexigrid/topics-{uuid.uuid4().hex}"
+    _topics(spark, sf_dir).select(F.concat_ws(" ", "qid", F.regexp_replace("title", "\n", " ")).alias("value")).write.text(path)
+    return collections.read_topics(spark, path)
+
+
 TOPICS_SCAN = "SELECT CAST(item_id AS VARCHAR) AS qid, trim(replace(text, chr(10), ' ')) AS title FROM benchmark"
 
 
@@ -74,6 +95,13 @@ RUN_SCAN = f"""WITH {_RUN} SELECT CAST(qid AS VARCHAR) AS qid, 'Q0' AS q0, CAST(
   CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno DESC) AS INTEGER) AS rank, score, 'lexigrid' AS tag FROM run"""
 
 
+def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run as files, written and read back: the same rows as run_scan."""
+    path = f"{shared_dir(spark)}/lexigrid/run-{uuid.uuid4().hex}"
+    collections.write_run(ranking.rank(_formula_run(spark, sf_dir)), path)
+    return collections.read_run(spark, path)
+
+
 def run_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collections.run_lines(ranking.rank(_formula_run(spark, sf_dir)))
 
@@ -259,9 +287,12 @@ _KEYS = {"trec_map": "map", "trec_rprec": "Rprec", "trec_recip_rank": "recip_ran
 
 QUERIES = {
     "corpus_scan": corpus_scan,
+    "corpus_files": corpus_files,
     "topics_scan": topics_scan,
+    "topics_files": topics_files,
     "qrels_scan": qrels_scan,
     "run_scan": run_scan,
+    "run_files": run_files,
     "run_lines": run_lines,
     "run_rank": run_rank,
     "run_topk": run_topk,
@@ -284,9 +315,12 @@ QUERIES = {
 
 ORACLE_SQL = {
     "corpus_scan": CORPUS_SCAN,
+    "corpus_files": CORPUS_SCAN,
     "topics_scan": TOPICS_SCAN,
+    "topics_files": TOPICS_SCAN,
     "qrels_scan": QRELS_SCAN,
     "run_scan": RUN_SCAN,
+    "run_files": RUN_SCAN,
     "run_lines": RUN_LINES,
     "run_rank": RUN_RANK,
     "run_topk": RUN_TOPK,

@@ -42,19 +42,23 @@ def png(height: int, width: int, channels: int, data: bytes) -> bytes:
 
 def write_images(images: DataFrame, folder: str, name_col: str = "name") -> DataFrame:
     """Write image rows (name and the image struct) as PNG files; overwrites files of the same name. Returns (name, written), which has
-    to be consumed. A file is written under another name and then renamed, so a task that is run again leaves whole files."""
+    to be consumed; images that are null or could not be decoded (nChannels -1), and rows without a name, are not written. A file is
+    written under another name and then renamed, so a task that is run again leaves whole files."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri("/" + folder[5:].lstrip("/") if folder.startswith("file:") else folder)
         store.create_dir(root, recursive=True)
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for name, x in zip(names, batch.column(1).to_pylist(), strict=True):
+            done = []
+            for name, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                done.append(name is not None and x is not None and (x["nChannels"] or 0) > 0)
+                if not done[-1]:
+                    continue
                 new = f"{root}/.{name}.{uuid.uuid4().hex}"
                 with store.open_output_stream(new) as f:
                     f.write(png(x["height"], x["width"], x["nChannels"], x["data"]))
                 store.move(new, f"{root}/{name}")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([True] * len(names))], names=["name", "written"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done, pa.bool_())], names=["name", "written"])
 
     return images.select(F.col(name_col).alias("name"), "image").mapInArrow(write, "name string, written boolean")
 

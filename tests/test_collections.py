@@ -42,6 +42,14 @@ def test_run_files_round_trip(spark, tmp_path):
     assert [(r["qid"], r["docno"], r["rank"], r["score"]) for r in back] == [tuple(r) for r in run.collect()]
 
 
+def test_a_corpus_of_files(spark, tmp_path):
+    rows = [("G00-01-1", "01", "http://a", "one\n\ntwo"), ("G00-01-2", "01", "http://b", ""), ("G00-07-1", "07", "http://c", "\u00e9 x")]
+    docs = spark.createDataFrame(rows, "docno string, shard string, url string, body string")
+    for _ in range(2):  # overwrites
+        assert collections.write_corpus(docs, str(tmp_path / "docs")).count() == 3
+    assert sorted(map(tuple, collections.read_corpus(spark, str(tmp_path / "docs")).collect())) == rows
+
+
 @pytest.mark.skipif(not CORPUS.exists(), reason="the corpus is not here")
 def test_the_corpus_itself(spark):
     docs = collections.read_corpus(spark, str(CORPUS / "documents")).cache()

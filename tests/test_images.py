@@ -53,3 +53,17 @@ def test_files_there_and_back(spark, tmp_path):
     want = images.flatten_alpha(np.frombuffer(bytes(rows[2][1][5]), "u1").reshape(-1, 4)).tobytes()
     assert bytes(whole["c4.png"]["data"]) == want and whole["c4.png"]["nChannels"] == 3
     assert whole["c1.png"] == back["c1.png"] and whole["broken.png"]["nChannels"] == -1
+
+
+def test_what_cannot_be_decoded_is_not_written(spark, tmp_path):
+    kind = "name string, image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+    rows = [("a.png", ("", 1, 1, 4, 24, bytearray(b"\1\2\3\0"))), ("b.png", ("b", -1, -1, -1, -1, bytearray())), ("c.png", None), (None, ("", 1, 1, 1, 0, bytearray(b"x")))]
+    whole = images.composite_images(spark.createDataFrame(rows, kind))
+    assert {r["name"]: r["written"] for r in files.write_images(whole, str(tmp_path)).collect()} == {"a.png": True, "b.png": False, "c.png": False, None: False}
+    back = files.read_images(spark, str(tmp_path)).collect()
+    assert [bytes(r["image"]["data"]) for r in back] == [b"\xff\xff\xff"]
+
+
+def test_key_columns_of_any_name(spark):
+    pixels = spark.createDataFrame([(1, 2, 3, 200, 100, 50, 255)], "bg int, ra int, bgr int, b int, g int, r int, a int")
+    assert images.composite_pixels(pixels).first().asDict() == {"bg": 1, "ra": 2, "bgr": 3, "b": 200, "g": 100, "r": 50}
