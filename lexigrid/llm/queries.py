@@ -12,7 +12,7 @@ from ._base import stored, table
 from .chat import format_conversations, read_back
 from .edit_fingerprint import fingerprints_and_classes
 from .langid import fit, held_out, identify
-from .license_scan import RULES, known_sentences, scan
+from .license_scan import scan, scan_sql
 from .line_dedup import dedup_lines
 from .mixing import mix, words
 from .packing import pack, token_pieces
@@ -44,28 +44,7 @@ FROM marked GROUP BY r, doc_id
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), "n_sentences")
-
-
-def _op2_sql() -> str:
-    known = ", ".join(f"('{text}', '{name}')" for text, name in known_sentences().items())
-    by_license: dict[str, list[str]] = {}
-    for name, rule in RULES:
-        by_license.setdefault(name, []).append(f"contains(path, '|{'|'.join(rule)}|')")
-    licenses = ", ".join(f"CASE WHEN {' OR '.join(some)} THEN '{name}' END" for name, some in by_license.items())
-    return f"""
-WITH known(s, name) AS (VALUES {known}),
-cut AS (
-  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(lower(coalesce(text, '')), '[.!?]+[ \t\r]+|[ \t\r]*\n\\s*'),
-    lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS sentences FROM documents),
-rows AS (
-  SELECT doc_id, unnest(sentences) AS s, generate_subscripts(sentences, 1) AS pos FROM cut),
-paths AS (
-  SELECT doc_id, '|' || string_agg(coalesce(name, ''), '|' ORDER BY pos) || '|' AS path, string_agg(name, ',' ORDER BY pos) AS ids
-  FROM rows LEFT JOIN known USING (s) GROUP BY doc_id)
-SELECT doc_id, coalesce(ids, '') AS sentence_ids, coalesce(array_to_string(list_filter([{licenses}], lambda x: x IS NOT NULL), ','), '') AS licenses,
-  CAST(len(sentences) AS BIGINT) AS n_sentences
-FROM cut LEFT JOIN paths USING (doc_id)"""
+    return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses", "fragments")], "n_sentences")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
-    "op2_license_scan": _op2_sql(),
+    "op2_license_scan": scan_sql(),
     "op5_chat": OP5_SQL,
     "op9_topk": OP9_SQL,
 }
