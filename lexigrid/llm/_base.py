@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -13,26 +12,13 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, spread
+
 #: Rows of an Arrow batch. Texts may be very long; a batch also ends at BATCH_BYTES.
 BATCH_ROWS = 500
 BATCH_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor and the driver see. Where it is unset, a session whose executors are on
-    this machine gets a temporary one; on a cluster, whose executors would not see it, that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context_dir = spark.sparkContext.getCheckpointDir()
-        if context_dir is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            context_dir = tempfile.mkdtemp(prefix="lexigrid-")
-            spark.sparkContext.setCheckpointDir(context_dir)
-        found = context_dir
-    return found.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexigrid/{name}-{uuid.uuid4().hex}"
 
@@ -54,14 +40,15 @@ def stored(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFr
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end at BATCH_ROWS rows or BATCH_BYTES bytes, so that long texts do not pile up in a worker."""
+    """Arrow batches end at BATCH_ROWS rows or BATCH_BYTES bytes, so that long texts do not pile up in a worker. This sets the session's
+    limits and leaves them, as results are lazy: they have to hold when a result is read."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
