@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,11 +62,44 @@ FIRST_EXAMPLE = f"SELECT * FROM ({SHUFFLE_TAKE}) WHERE position = 0"
 
 
 def permutation_take(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """numpy's own permutation; not SQL."""
+    """numpy's own permutation."""
     data = selection.split_of(_data(spark, sf_dir), "test").select("doc_id", "label")
     return selection.permutation_take(data, "doc_id", KEPT)
 
 
+#: The multiplier of PCG64; and its state and increment after seeding with 42, in halves, as numpy gives them.
+_MULTIPLIER = 0x2360ED051FC65DA44385DF649FCCF645
+_SEEDED = np.random.PCG64(42).state["state"]
+_U = "CAST({} AS UHUGEINT)".format
+_HALF = _U(1 << 64)
+_M_HI, _M_LO, _I_HI, _I_LO = (_U(x) for v in (_MULTIPLIER, _SEEDED["inc"]) for x in divmod(v, 1 << 64))
+#: The generator's steps, its outputs as halves, low first, and the swaps of a shuffle from the last row down: each takes the low bits of
+#: the next half that is not beyond the row. Four halves a row are more than it needs.
+PERMUTATION_TAKE = f"""WITH RECURSIVE {_DATA},
+own AS (SELECT doc_id, label, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS r FROM data WHERE split = 'test'),
+size AS (SELECT CAST(count(*) AS BIGINT) AS n FROM own),
+steps(k, hi, lo) AS (
+  SELECT CAST(-1 AS BIGINT), {_U(_SEEDED["state"] >> 64)}, {_U(_SEEDED["state"] % (1 << 64))}
+  UNION ALL
+  SELECT k + 1, ((lo * {_M_LO} + {_I_LO}) // {_HALF} + (hi * {_M_LO}) % {_HALF} + (lo * {_M_HI}) % {_HALF} + {_I_HI}) % {_HALF}, (lo * {_M_LO} + {_I_LO}) % {_HALF}
+  FROM steps, size WHERE k < 2 * n + 32),
+mixed AS (
+  SELECT k, {_U("xor(CAST(hi AS UBIGINT), CAST(lo AS UBIGINT))")} AS x, CAST(hi >> 58 AS INTEGER) AS turn FROM (SELECT k, CAST(hi AS UBIGINT) AS hi, lo FROM steps WHERE k >= 0)),
+turned AS (
+  SELECT k, CASE turn WHEN 0 THEN x ELSE x // {_U("CAST(1 AS UBIGINT) << turn")} + (x % {_U("CAST(1 AS UBIGINT) << turn")}) * {_U("CAST(1 AS UBIGINT) << (64 - turn)")} END AS u FROM mixed),
+halves AS (
+  SELECT 2 * k AS t, u % {_U(1 << 32)} AS u FROM turned UNION ALL SELECT 2 * k + 1, u // {_U(1 << 32)} FROM turned),
+shuffle(t, i, rows) AS (
+  SELECT CAST(0 AS BIGINT), n - 1, range(n) FROM size
+  UNION ALL
+  SELECT t + 1, CASE WHEN j > i THEN i ELSE i - 1 END,
+    CASE WHEN j > i THEN rows ELSE list_transform(rows, lambda x, place: CASE place - 1 WHEN i THEN rows[j + 1] WHEN j THEN rows[i + 1] ELSE x END) END
+  FROM (SELECT shuffle.t, i, rows, CAST(u AS BIGINT) & ((CAST(1 AS BIGINT) << length(bin(i))) - 1) AS j FROM shuffle JOIN halves ON halves.t = shuffle.t WHERE i > 0)),
+placed AS (
+  SELECT unnest(rows) AS r, generate_subscripts(rows, 1) - 1 AS position FROM (SELECT rows FROM shuffle ORDER BY t DESC LIMIT 1))
+SELECT doc_id, label, CAST(position AS INTEGER) AS position FROM own JOIN placed USING (r) WHERE position < {KEPT}"""
+
+
 _BASE = encoding.base_tokens()
 
 
@@ -156,6 +190,7 @@ ORACLE_SQL = {
     "shuffle_take": SHUFFLE_TAKE,
     "shuffle_take_train": SHUFFLE_TAKE_TRAIN,
     "first_example": FIRST_EXAMPLE,
+    "permutation_take": PERMUTATION_TAKE,
     "vocabulary": VOCABULARY,
     "encode_batch": ENCODE_BATCH,
     "encode_project": ENCODE_PROJECT,
