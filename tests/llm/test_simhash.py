@@ -98,3 +98,12 @@ def test_stars(spark):
     forest = star_forest(spark.createDataFrame(chain, "u long, v long"))
     assert sorted(map(tuple, forest.collect())) == [(k, 0) for k in range(1, 61)] + [(95, 90), (100, 90)]
     assert star_forest(spark.createDataFrame([], "u long, v long")).count() == 0
+    rng = np.random.default_rng(6)
+    for n, m in ((40, 25), (40, 60), (200, 150)):
+        pairs = rng.integers(-n, n, (m, 2)).tolist()
+        root = {x: x for x in range(-n, n)}
+        for u, v in pairs:
+            a, b = root[u], root[v]
+            root = {x: min(a, b) if r in (a, b) else r for x, r in root.items()}
+        forest = star_forest(spark.createDataFrame([tuple(p) for p in pairs], "u long, v long"))
+        assert sorted(map(tuple, forest.collect())) == sorted((x, r) for x, r in root.items() if x != r)
